@@ -12,48 +12,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_PRICE = "(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE l_extendedprice * 0.005D END)"
+
+_COLUMNS = [
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id",
+    "o_orderpriority AS source",
+    "CASE WHEN l_linestatus = 'F' THEN 'sale' ELSE 'rent' END AS deal_type",
+    "CASE WHEN l_linestatus = 'F' THEN NULL ELSE 'month' END AS price_period",
+    "CASE WHEN o_orderstatus = 'F' THEN 'removed' ELSE 'active' END AS status",
+    f"{_PRICE} AS price_usd",
+    "l_quantity AS area_m2",
+    f"{_PRICE} / l_quantity AS price_per_m2_usd",
+    "l_linenumber AS rooms",
+    "p_size AS floor",
+    "50 AS total_floors",
+    "n_name AS district",
+    "concat(p_type, '/', n_name) AS building_key",
+    "p_brand AS complex",
+    "CASE WHEN p_retailprice >= 950 THEN 'new' ELSE 'secondary' END AS segment",
+    "p_type AS material",
+    "split(p_name, ' ')[0] AS micro_location",
+    "CASE WHEN p_partkey % 4 <> 0 THEN CAST(1960 + p_partkey % 60 AS INT) END AS year_built",
+    "l_discount * 100 + 0.0D AS discount_percent",
+    "l_tax * 100 + 0.0D AS commission_pct",
+    "o_custkey AS seller_id",
+    "l_returnflag = 'R' AS is_business",
+    "l_shipdate AS seen_at",
+    "o_orderdate AS created_at",
+    "p_name AS title",
+    "l_returnflag AS description",
+]
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One listing per lineitem, described by its part, supplier, nation and order."""
-    li = table(spark, sf_dir, "lineitem")
-    sale = F.col("l_linestatus") == "F"
-    joined = (
-        li.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    )
-    price = F.when(sale, F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") * 0.005)
-    return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
-        F.col("o_orderpriority").alias("source"),
-        F.when(sale, "sale").otherwise("rent").alias("deal_type"),
-        F.when(sale, F.lit(None).cast("string")).otherwise("month").alias("price_period"),
-        F.when(F.col("o_orderstatus") == "F", "removed").otherwise("active").alias("status"),
-        price.alias("price_usd"),
-        F.col("l_quantity").alias("area_m2"),
-        (price / F.col("l_quantity")).alias("price_per_m2_usd"),
-        F.col("l_linenumber").alias("rooms"),
-        F.col("p_size").alias("floor"),
-        F.lit(50).alias("total_floors"),
-        F.col("n_name").alias("district"),
-        F.concat("p_type", F.lit("/"), "n_name").alias("building_key"),
-        F.col("p_brand").alias("complex"),
-        F.when(F.col("p_retailprice") >= 950, "new").otherwise("secondary").alias("segment"),
-        F.col("p_type").alias("material"),
-        F.split("p_name", " ")[0].alias("micro_location"),
-        F.when(F.col("p_partkey") % 4 != 0, (F.lit(1960) + F.col("p_partkey") % 60).cast("int")).alias("year_built"),
-        (F.col("l_discount") * 100 + 0.0).alias("discount_percent"),
-        (F.col("l_tax") * 100 + 0.0).alias("commission_pct"),
-        F.col("o_custkey").alias("seller_id"),
-        (F.col("l_returnflag") == "R").alias("is_business"),
-        F.col("l_shipdate").alias("seen_at"),
-        F.col("o_orderdate").alias("created_at"),
-        F.col("p_name").alias("title"),
-        F.col("l_returnflag").alias("description"),
+    return (
+        table(spark, sf_dir, "lineitem")
+        .join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
+        .join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
+        .selectExpr(*_COLUMNS)
     )
 
 
-_PRICE = "(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE l_extendedprice * 0.005 END)"
+_SQL_PRICE = "(CASE WHEN l_linestatus = 'F' THEN l_extendedprice ELSE l_extendedprice * 0.005 END)"
 
 LISTINGS_SQL = f"""listings AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
@@ -61,7 +64,7 @@ LISTINGS_SQL = f"""listings AS (
     CASE WHEN l_linestatus = 'F' THEN 'sale' ELSE 'rent' END AS deal_type,
     CASE WHEN l_linestatus = 'F' THEN NULL ELSE 'month' END AS price_period,
     CASE WHEN o_orderstatus = 'F' THEN 'removed' ELSE 'active' END AS status,
-    {_PRICE} AS price_usd, l_quantity AS area_m2, {_PRICE} / l_quantity AS price_per_m2_usd,
+    {_SQL_PRICE} AS price_usd, l_quantity AS area_m2, {_SQL_PRICE} / l_quantity AS price_per_m2_usd,
     l_linenumber AS rooms, p_size AS floor, 50 AS total_floors, n_name AS district,
     p_type || '/' || n_name AS building_key, p_brand AS complex,
     CASE WHEN p_retailprice >= 950 THEN 'new' ELSE 'secondary' END AS segment, p_type AS material,
