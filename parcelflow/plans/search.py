@@ -123,3 +123,8 @@ def district_options(listings: DataFrame) -> DataFrame:
         listings.where((F.col("district") != "") & (F.col("district") != K.UNSPECIFIED_DISTRICT))
         .select("district").distinct().orderBy("district")
     )
+
+
+def details(listings: DataFrame, keys: DataFrame, ident: str = "id") -> DataFrame:
+    """Full rows of the given primary keys."""
+    return listings.join(keys.select(ident), ident, "left_semi")

@@ -1,3 +1,3 @@
 """Importing this module fills the registry."""
 
-from parcelflow.queries import comparables, feed, market  # noqa: F401
+from parcelflow.queries import comparables, feed, market, resolve  # noqa: F401

@@ -289,11 +289,13 @@ def card_rows(spark, sf_dir):
         F.when(hot, "hot").otherwise("plain").alias("badge"))
 
 
-@query("listing_detail", with_listings("SELECT id, source, title FROM listings WHERE source = '2-HIGH' AND id LIKE '1%'"))
+@query("listing_detail", with_listings("""SELECT id, source, title, district, rooms FROM listings
+  WHERE id IN (SELECT max(id) FROM listings GROUP BY source)"""))
 def listing_detail(spark, sf_dir):
-    """A15 in its batch form: rows by key prefix."""
-    return listings(spark, sf_dir).where((F.col("source") == "2-HIGH") & F.col("id").startswith("1")).select(
-        "id", "source", "title")
+    """Rows by primary key, for a table of keys."""
+    rows = listings(spark, sf_dir)
+    keys = rows.groupBy("source").agg(F.max("id").alias("id")).select("id")
+    return search.details(rows, keys).select("id", "source", "title", "district", "rooms")
 
 
 @query("stale_selection", with_listings(f"""SELECT source, count(*) AS stale,
