@@ -25,3 +25,19 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: lis
         "__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__bucket"))).drop("__last")
     return join_on(inside, carried, [*keys, "__bucket"], "left").withColumn(
         "prev", F.coalesce("prev", "__carry")).drop("__bucket", "__carry")
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[Column], value: str, bucket: Column, name: str) -> DataFrame:
+    """Add ``name``: the latest non-NULL ``value`` of strictly earlier rows of the key.
+
+    Pass descending expressions (negated numbers) in ``order`` and ``bucket`` to look ahead instead.
+    """
+    rows = df.withColumn("__bucket", bucket).withColumn("__order", F.struct(*order))
+    back = Window.partitionBy(*keys, "__bucket").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn(name, F.last(value, ignorenulls=True).over(back))
+    last = rows.groupBy(*keys, "__bucket").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__order"))).alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("__carry", F.last("__last", ignorenulls=True).over(earlier)).drop("__last")
+    return join_on(inside, carried, [*keys, "__bucket"], "left").withColumn(
+        name, F.coalesce(name, "__carry")).drop("__bucket", "__order", "__carry")

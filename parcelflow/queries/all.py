@@ -1,3 +1,3 @@
 """Importing this module fills the registry."""
 
-from parcelflow.queries import comparables, feed, history, market, resolve  # noqa: F401
+from parcelflow.queries import alerts, comparables, feed, history, market, product, resolve  # noqa: F401
