@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from parcelflow.functions import vocabulary as V
-from parcelflow.functions.text import collapse
+from parcelflow.functions.text import collapse, let
 
 _SPLIT = "[^0-9A-Za-zА-Яа-яЁёЎўҚқҒғҲҳ]+"
 _NOISE = "^(?:" + "|".join(V.COMPLEX_NOISE) + r"|\d+|.|u\d?k\d?|id\d*|[abr]\d+)$"
@@ -44,7 +44,7 @@ def _branded(tokens: Column) -> Column:
 
 def name_tokens(name: Column) -> Column:
     """B12."""
-    return _branded(F.filter(_tokens(name), lambda t: ~t["noise"]))
+    return let(F.filter(_tokens(name), lambda t: ~t["noise"]), _branded)
 
 
 def match_key(name: Column) -> Column:
@@ -61,8 +61,13 @@ def clean_name(name: Column) -> Column:
 
 def extract_name(text: Column) -> Column:
     """The words behind a complex keyword up to the first noise word; NULL without a usable name."""
+    def leading(tokens: Column) -> Column:
+        stop = F.array_position(F.transform(tokens, lambda t: t["noise"]), True)
+        return F.slice(F.when(stop > 0, F.slice(tokens, F.lit(1), (stop - 1).cast("int"))).otherwise(tokens), 1, 6)
+
+    def joined(tokens: Column) -> Column:
+        return collapse(F.array_join(F.slice(F.transform(_branded(tokens), lambda t: t["raw"]), 1, 4), " "))
+
     tokens = _tokens(F.regexp_extract(F.coalesce(text, F.lit("")), _NAMED, 1))
-    stop = F.array_position(F.transform(tokens, lambda t: t["noise"]), True)
-    lead = F.slice(F.when(stop > 0, F.slice(tokens, F.lit(1), (stop - 1).cast("int"))).otherwise(tokens), 1, 6)
-    name = collapse(F.array_join(F.slice(F.transform(_branded(lead), lambda t: t["raw"]), 1, 4), " "))
-    return F.when(F.length(match_key(name)) >= 2, name)
+    name = let(let(tokens, leading), joined)
+    return let(name, lambda n: F.when(F.length(match_key(n)) >= 2, n))

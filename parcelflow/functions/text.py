@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -50,10 +51,16 @@ def floor_pair(text: Column) -> tuple[Column, Column]:
     return first, F.regexp_extract(t, pair, 2).try_cast("int")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def first_listed(text: Column, pairs: list[tuple[str, str]]) -> Column:
     """Value of the first listed marker that occurs in the text."""
     table = F.array(*[F.struct(F.lit(m).alias("marker"), F.lit(v).alias("value")) for m, v in pairs])
-    return F.try_element_at(F.filter(table, lambda s: text.contains(s["marker"])), F.lit(1))["value"]
+    return let(text, lambda t: F.try_element_at(
+        F.filter(table, lambda s: t.contains(s["marker"])), F.lit(1))["value"])
 
 
 def district(text: Column, aliases: list[tuple[str, str]] = V.DISTRICT_ALIASES) -> Column:
@@ -111,6 +118,24 @@ def area_in_title(title: Column) -> Column:
     return F.when(n.between(10, 500), n)
 
 
+# How free-form advert titles write rooms and area, in order of trust.
+TITLE_ROOMS = [r"(\d+)\s*[- ]?х\s*ком", r"(\d+)\s*[- ]?комнат", r"(\d+)\s*хона", r"(\d+)\s*xon",
+               r"\b([1-5])\s*/\s*\d+\s*/\s*\d+\b", r"\b([1-5])в[2-5]\b"]
+TITLE_AREA = [r"(\d+(?:[.,]\d+)?)\s*(?:м2|м²|кв\.?\s*м|квадрат)", r"(?:квадрат|квадратов|кв\.?\s*м)\s*(\d+(?:[.,]\d+)?)",
+              r"\b\d+\s*/\s*\d+\s*/\s*\d+\s+(\d+(?:[.,]\d+)?)\b"]
+
+TITLE_FIGURES = [r"\b\d+\s*/\s*\d+\s*/\s*\d+\b", r"\d+(?:[.,]\d+)?\s*(?:м2|м²|кв\.?\s*м|квадрат)"]
+
+
+def first_in_range(text: Column, patterns: list[str], low: float, high: float) -> Column:
+    """Number of the first pattern whose capture lies in the range."""
+    tries = []
+    for pattern in patterns:
+        n = F.replace(F.regexp_extract(text, "(?iuU)" + pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
+        tries.append(F.when(n.between(low, high), n))
+    return F.coalesce(*tries)
+
+
 def source_token(text: Column, size: int = 64) -> Column:
     """An acquisition label reduced to safe characters."""
     return F.nullif(F.substring(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9_\-]", ""), 1, size), F.lit(""))
