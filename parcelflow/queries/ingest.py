@@ -142,9 +142,11 @@ def unique_keys(spark, sf_dir):
     return duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query("page_links")
+@query("page_links", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<a\b[^>]*\bhref\s*=\s*"([^"]*)"[^>]*>.*?</a>', 1)) AS href,
+    generate_subscripts(regexp_extract_all(html, '(?s)<a\b[^>]*\bhref\s*=\s*"([^"]*)"[^>]*>.*?</a>', 1), 1) - 1 AS pos FROM pages)
+  SELECT page_id, href, CAST(min(pos) AS INTEGER) AS pos FROM l GROUP BY page_id, href""")
 def page_links(spark, sf_dir):
-    return payloads.page_links(table(spark, sf_dir, "pages"))
+    return payloads.page_links(table(spark, sf_dir, "pages")).select("page_id", "href", "pos")
 
 
 @query("page_cards", """SELECT page_id, len(regexp_extract_all(regexp_extract(html, '(?s)<article\\b[^>]*>(.*)</article>', 1), '<p\\b')) AS paragraphs FROM pages""")
@@ -206,7 +208,14 @@ def text_material(spark, sf_dir):
     return _adverts(spark, sf_dir).select("id", material(blob(F.col("text"))).alias("material"))
 
 
-@query("text_micro_location")
+_KNOWN_SQL = "CASE " + " ".join(f"WHEN contains(t, '{p}') THEN '{p.replace(' ', '-')}'" for p in V.KNOWN_LOCATIONS) + " END"
+_BLOCK = r"(?:^|[^\p{L}\p{M}\p{N}_])(ттз|ц|с|q)[\s-]?(\d{1,2})(?:$|[^\p{L}\p{M}\p{N}_])"
+
+
+@query("text_micro_location", f"""WITH a AS (SELECT id, lower(text) AS t FROM ({_ADVERTS}))
+  SELECT id, coalesce(nullif(regexp_extract(t, 'масс?ив\\s+([\\p{{L}}\\p{{M}}\\p{{N}}_-]{{2,30}})', 1), ''),
+    'квартал-' || nullif(regexp_extract(t, 'квартал\\s+([\\p{{L}}\\p{{M}}\\p{{N}}_-]{{2,30}})', 1), ''),
+    nullif(regexp_extract(t, '{_BLOCK}', 1), '') || '-' || regexp_extract(t, '{_BLOCK}', 2), {_KNOWN_SQL}) AS micro_location FROM a""")
 def text_micro_location(spark, sf_dir):
     return _adverts(spark, sf_dir).select("id", micro_location(blob(F.col("text"))).alias("micro_location"))
 
