@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
@@ -22,3 +22,14 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
         cond = cond & residual
     out = left.join(renamed, cond, how)
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
+
+
+def group_key(*columns: Column | str) -> Column:
+    """One non-NULL string that is equal exactly when all columns are equal, NULLs included.
+
+    The values themselves are in it; the hash in front only lets sorts and joins tell two
+    keys apart by their first bytes.
+    """
+    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+    parts = [F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cols]
+    return F.concat_ws("\u0001", F.hex(F.xxhash64(*cols)), *parts)

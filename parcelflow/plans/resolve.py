@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow import constants as K
-from parcelflow.operators.keys import join_on
-from parcelflow.operators.nearest import Tolerant, nearest_lists, others
+from parcelflow.operators.keys import group_key, join_on
+from parcelflow.operators.nearest import Tolerant, class_key, nearest_lists, others
 from parcelflow.operators.pivot_clusters import pivot_clusters
 from parcelflow.sources.storage import materialise
 
@@ -54,13 +54,12 @@ def same_flat(incoming: DataFrame, stored: DataFrame, *, tolerance: float = K.DU
     A known incoming floor accepts the same or an unknown stored floor; an unknown one accepts
     any.  This is a nearest-neighbour search with one neighbour, so no pairs are spelled out.
     """
-    lists = nearest_lists(
-        incoming, stored, keys=keys, position="price_usd", ident="id", payload=[],
-        k=1, reach=(tolerance, tolerance), attrs=[Tolerant("floor", 0, routed=True)],
-    )
-    place = [*keys, "floor", "price_usd"]
+    attrs = [Tolerant("floor", 0, routed=True)]
+    incoming, stored = (d.withColumn("flat", group_key(*keys)) for d in (incoming, stored))
+    lists = nearest_lists(incoming, stored, key="flat", position="price_usd", ident="id", payload=[],
+                          k=1, reach=(tolerance, tolerance), attrs=attrs)
     return (
-        join_on(incoming.select("id", *place), lists, place)
+        incoming.select("id", class_key("flat", attrs).alias("class"), "price_usd").join(lists, ["class", "price_usd"])
         .select("id", others("near", "id", F.col("id"), 1).alias("hit"))
         .where(F.size("hit") > 0)
         .select("id", F.col("hit")[0]["id"].alias("duplicate_id"), F.col("hit")[0]["price_usd"].alias("duplicate_price_usd"))

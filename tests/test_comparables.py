@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import listings, table
-from parcelflow.operators.nearest import Tolerant, nearest_lists, others
+from parcelflow.operators.keys import group_key
+from parcelflow.operators.nearest import Tolerant, class_key, nearest_lists, others
 from parcelflow.plans import comparables as C
 
 
@@ -54,11 +55,12 @@ def test_nearest_against_brute_force(spark, seed):
             for i in range(250)]
     df = spark.createDataFrame(rows, "id int, g string, pos double, fl int, mat string, yr int")
     k, reach = 4, (0.15, 0.15)
-    lists = nearest_lists(df, df, keys=["g"], position="pos", ident="id", payload=[], k=k, reach=reach,
-                          attrs=[Tolerant("fl", 2, routed=True), Tolerant("mat"), Tolerant("yr", 15)])
-    cond = F.expr("s.g = l.g and s.pos = l.pos and s.fl <=> l.fl and s.mat <=> l.mat and s.yr <=> l.yr")
-    got = {r.id: list(r.ids) for r in df.alias("s").join(lists.alias("l"), cond).select(
-        F.col("s.id").alias("id"), F.transform(others("near", "id", F.col("s.id"), k), lambda e: e["id"]).alias("ids")).collect()}
+    attrs = [Tolerant("fl", 2, routed=True), Tolerant("mat"), Tolerant("yr", 15)]
+    df = df.withColumn("key", group_key("g"))
+    lists = nearest_lists(df, df, key="key", position="pos", ident="id", payload=[], k=k, reach=reach, attrs=attrs)
+    found = df.withColumn("class", class_key("key", attrs)).join(lists, ["class", "pos"])
+    got = {r.id: list(r.ids) for r in found.select(
+        "id", F.transform(others("near", "id", F.col("id"), k), lambda e: e["id"]).alias("ids")).collect()}
 
     def fits(a, b):
         close = lambda x, y, gap: x is None or y is None or abs(x - y) <= gap
