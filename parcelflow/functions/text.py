@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -146,4 +146,5 @@ def language(code: Column) -> Column:
 
 
 def any_of(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(re.escape(w) for w in words))
+    """Plain substring tests; far cheaper on long texts than one alternation."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])

@@ -35,8 +35,9 @@ def backfill(listings: DataFrame, dictionary: DataFrame, complex_column: str = "
     grown, links = resolve_complexes(named_listings(listings.where(F.col(complex_column).isNull())), dictionary)
     updated = listings.join(links.withColumnRenamed("listing_id", "id"), "id", "left").withColumn(
         complex_column, F.coalesce(F.col(complex_column), F.col("complex_id"))).drop("complex_id")
-    report = listings.where(F.col(complex_column).isNull()).agg(F.count(F.lit(1)).alias("scanned")).join(
-        links.agg(F.count(F.lit(1)).alias("updated")), F.lit(True))
+    todo = listings.where(F.col(complex_column).isNull()).select(F.lit(1).alias("scanned"), F.lit(0).alias("updated"))
+    done = links.select(F.lit(0).alias("scanned"), F.lit(1).alias("updated"))
+    report = todo.unionByName(done).agg(F.sum("scanned").alias("scanned"), F.sum("updated").alias("updated"))
     return grown, updated, report
 
 

@@ -83,12 +83,12 @@ def daily_counts(rows: DataFrame, at: str, as_of: str, days: int = 30) -> DataFr
     """Rows per day over the last days, days without rows included, with the maximum."""
     spark = rows.sparkSession
     last = F.lit(as_of).cast("date")
-    calendar = spark.range(1).select(F.explode(F.sequence(F.date_sub(last, days - 1), last)).alias("day"))
+    calendar = spark.range(days).select(F.date_sub(last, F.col("id").cast("int")).alias("day"))
     counts = rows.where(F.col(at) >= _now(as_of) - _days(days)).groupBy(F.to_date(at).alias("day")).agg(
         F.count(F.lit(1)).alias("n"))
     filled = calendar.join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("count"))
-    peak = filled.agg(F.max("count").alias("max_count"))
-    return filled.join(peak, F.lit(True))
+    # The calendar has ``days`` rows, so one window over all of it is small.
+    return filled.withColumn("max_count", F.max("count").over(Window.partitionBy(F.lit(1))))
 
 
 def retention(users: DataFrame, activity: DataFrame, as_of: str, weeks: int = 8) -> DataFrame:

@@ -128,3 +128,16 @@ def district_options(listings: DataFrame) -> DataFrame:
 def details(listings: DataFrame, keys: DataFrame, ident: str = "id") -> DataFrame:
     """Full rows of the given primary keys."""
     return listings.join(keys.select(ident), ident, "left_semi")
+
+
+def analog_order(key: str, descending: bool = False) -> list[Column]:
+    """The analog table by any of its columns, either way; id breaks ties."""
+    columns = {"price": "analog_price_usd", "area": "analog_area_m2", "ppm": "analog_ppm", "rank": "rank", "diff": "diff_percent",
+               "basis": "basis", "id": "analog_id"}
+    c = F.col(columns[key])
+    return [c.desc_nulls_last() if descending else c.asc_nulls_last(), F.col("analog_id").asc()]
+
+
+def any_rows(rows: DataFrame) -> bool:
+    """Existence test; reads until the first row."""
+    return not rows.isEmpty()
