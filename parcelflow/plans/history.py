@@ -12,8 +12,8 @@ EVENT_COLUMNS = ["listing_key", "event_type", "old_price_usd", "new_price_usd",
 
 
 def sightings_with_previous(sightings: DataFrame, *, key: str = "listing_key", bucket: Column | None = None) -> DataFrame:
-    """Each sighting next to the one before it; months split a hot key's timeline."""
-    bucket = F.date_trunc("month", "seen_at") if bucket is None else bucket
+    """Each sighting next to the one before it; days split a hot key's timeline."""
+    bucket = F.to_date("seen_at") if bucket is None else bucket
     return with_previous(sightings, [key], ["seen_at", "id"], ["seen_at", "price_usd"], bucket)
 
 

@@ -177,18 +177,19 @@ def latency(requests: DataFrame, *, window: str = "5 minutes") -> DataFrame:
     return out.select("window_start", "samples", F.round("p50", 1).alias("p50_ms"), F.round("p95", 1).alias("p95_ms"))
 
 
-def peak_concurrency(requests: DataFrame, *, bucket: str = "hour") -> DataFrame:
+def peak_concurrency(requests: DataFrame, *, bucket: str = "minute") -> DataFrame:
     """The most requests in flight at once.
 
-    Starts and ends are +1/-1 steps.  Each time bucket is summed on its own; only one row per
-    bucket enters the running total over all buckets.
+    Starts and ends are +1/-1 steps, summed per instant first (an end at the same instant counts
+    before a start).  Each time bucket is added up on its own; only one row per bucket enters the
+    running total over all buckets.
     """
     steps = requests.select(F.explode(F.array(
         F.struct(F.col("ts").alias("t"), F.lit(1).alias("d")),
         F.struct((F.col("ts") + F.make_dt_interval(secs=F.col("duration"))).alias("t"), F.lit(-1).alias("d")),
-    )).alias("s")).select("s.t", "s.d").withColumn("b", F.date_trunc(bucket, "t"))
+    )).alias("s")).groupBy("s.t").agg(F.sum("s.d").alias("d")).withColumn("b", F.date_trunc(bucket, "t"))
     inside = steps.withColumn("run", F.sum("d").over(
-        Window.partitionBy("b").orderBy("t", "d").rowsBetween(Window.unboundedPreceding, 0)))
+        Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
     buckets = inside.groupBy("b").agg(F.sum("d").alias("net"), F.max("run").alias("high"))
     before = F.coalesce(F.sum("net").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return buckets.withColumn("peak", before + F.col("high")).agg(F.max("peak").alias("peak_inflight"))

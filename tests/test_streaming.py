@@ -1,7 +1,6 @@
 import datetime as dt
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from helpers import listings, table
@@ -27,8 +26,7 @@ def test_events_equal_batch_across_batches(spark):
     path = folder(spark, "sightings")
     land(df, path, ["seen_at < '2024-01-05'", "seen_at >= '2024-01-05'"])
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    # Ten days of lateness keep the timers quiet, so only sightings speak.
-    got = jobs.run_to_files(jobs.listing_events(stream, lateness="10 days"), folder(spark, "out"))
+    got = jobs.listing_events(stream, folder(spark, "out"), days=30)
     want = history.listing_events(history.sightings_with_previous(df))
     cols = ["listing_key", "event_type", "old_price_usd", "new_price_usd", "gap_days"]
     assert table(got, *cols) == table(want, *cols)
@@ -40,7 +38,7 @@ def test_unseen_listing_times_out(spark):
     path = folder(spark, "sightings")
     land(df, path, ["id = '1'", "id = '2'", "id = '3'"])
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = jobs.run_to_files(jobs.listing_events(stream), folder(spark, "out"))
+    got = jobs.listing_events(stream, folder(spark, "out"))
     assert table(got.where("event_type = 'delisted'"), "listing_key", "old_price_usd") == [("a", 10.0)]
 
 
