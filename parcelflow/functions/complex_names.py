@@ -25,6 +25,16 @@ def transliterate(text: Column) -> Column:
     return out
 
 
+def slug_text(text: Column) -> Column:
+    """B10 for slugs: a Latin lower-case form; other letters and signs become dashes."""
+    out = F.lower(text)
+    for letter, latin in V.SLUG_LETTERS.items():
+        out = F.replace(out, F.lit(letter), F.lit(latin))
+    for letter in V.SLUG_UNKNOWN:
+        out = F.replace(out, F.lit(letter), F.lit("-"))
+    return F.trim(F.regexp_replace(transliterate(out), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
 def _tokens(name: Column) -> Column:
     """Array of (raw, canon, noise, place) for the words that leave any Latin letter or digit."""
     words = F.transform(

@@ -65,6 +65,10 @@ TRANSLIT_SINGLE = {
 }
 TRANSLIT_MULTI = {"ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "ю": "yu", "я": "ya", "ъ": "", "ь": ""}
 
+# Letters that slugs write otherwise than match keys; letters not in either table end up as dashes.
+SLUG_LETTERS = {"ц": "c"}
+SLUG_UNKNOWN = ["ў", "қ", "ғ", "ҳ"]
+
 COMPLEX_NOISE = (
     "zhk zhiloy kompleks residential complex id adres srochno srochnaya srochnuyu gorod goroda menyaetsya vash "
     "uvazhaemye gosti kvartira kvartiry kvartir kvartiru arenda arendu arenduyu arendoy prodam prodayu prodazha "

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow import constants as K
+from parcelflow.functions.complex_names import slug_text
+from parcelflow.functions.vocabulary import DISTRICT_SLUGS
 from parcelflow.operators.keys import join_on
 from parcelflow.operators.predicates import sane_active
 from parcelflow.plans.search import hub_order
@@ -96,13 +98,14 @@ def rooms_from_slug(slug: Column) -> Column:
     return F.try_element_at(F.split(F.regexp_extract(slug, r"^([1-9])-komnatnye$", 1), ""), F.lit(1)).try_cast("int")
 
 
-def plain_slug(text: Column) -> Column:
-    """Lower case, runs of other characters become one dash, no dash at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+def district_slug(district: Column) -> Column:
+    """The fixed slug of a known district, else one made from its name."""
+    known = F.create_map(*[F.lit(x) for pair in DISTRICT_SLUGS.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, district), slug_text(district))
 
 
 def complex_slug(ident: Column, name: Column) -> Column:
-    tail = plain_slug(name)
+    tail = slug_text(name)
     return F.when(tail == "", ident.cast("string")).otherwise(F.concat_ws("-", ident.cast("string"), tail))
 
 
@@ -127,7 +130,7 @@ def catalogue(listings: DataFrame, slices: DataFrame, complexes: DataFrame, *, s
     ``slug`` maps a slice's district to its path part and ``complex_path`` a complex to its
     path.  The sale side's date stamps the static and complex pages.
     """
-    slug = plain_slug(F.col("district")) if slug is None else slug
+    slug = district_slug(F.col("district")) if slug is None else slug
     spark = listings.sparkSession
     stamp = last_modified(listings, modified).select("deal_type", F.date_format("last_at", "yyyy-MM-dd").alias("lastmod"))
     prefix = F.when(F.col("deal_type") == "rent", PREFIX["rent"]).otherwise(PREFIX["sale"])
@@ -141,7 +144,7 @@ def catalogue(listings: DataFrame, slices: DataFrame, complexes: DataFrame, *, s
         F.when(F.col("level") == "district", "0.7").otherwise("0.6").alias("priority"))
     homes = complexes.select(
         F.lit("sale").alias("deal_type"),
-        F.concat(F.lit("/jk/"), plain_slug(F.col("complex")) if complex_path is None else complex_path).alias("loc"),
+        F.concat(F.lit("/jk/"), slug_text(F.col("complex")) if complex_path is None else complex_path).alias("loc"),
         F.lit("weekly").alias("changefreq"), F.lit("0.6").alias("priority"))
     rows = static.unionByName(hubs).unionByName(homes)
     return rows.join(stamp, "deal_type", "left").select("loc", "lastmod", "changefreq", "priority")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from parcelflow import constants as K
 from parcelflow.functions import features as FE, text as T
 from parcelflow.functions import vocabulary as V
+from parcelflow.operators.keys import join_on
 from parcelflow.operators.predicates import extreme_floor, plausible
 from parcelflow.plans.resolve import fingerprint
 
@@ -39,6 +40,12 @@ def normalise_listings(raw: DataFrame, fx: DataFrame | None = None, *, rate: flo
     return silver, judged.where(F.col("reason").isNotNull())
 
 
+def recanonicalise(listings: DataFrame) -> DataFrame:
+    """District names through the alias table again; each distinct name is looked up once."""
+    names = listings.select("district").distinct().withColumn("__canonical", T.district(F.col("district")))
+    return join_on(listings, names, ["district"], "left").withColumn("district", F.col("__canonical")).drop("__canonical")
+
+
 def district_coverage(silver: DataFrame) -> DataFrame:
     """Share of rows per source whose district no alias matched."""
     return silver.groupBy("source").agg(

@@ -231,6 +231,11 @@ def recipients(users: DataFrame, after_id: int = 0) -> DataFrame:
     return users.where(F.col("is_active") & (F.col("user_id") > after_id)).orderBy("user_id")
 
 
+def admins(users: DataFrame) -> DataFrame:
+    """Active administrators that can be written to."""
+    return users.where((F.col("role") == "admin") & F.col("is_active") & F.col("telegram_id").isNotNull())
+
+
 def find_users(users: DataFrame, text: str) -> DataFrame:
     """By part of the name in any case, or by exact numeric id."""
     from parcelflow.operators.predicates import like_escaped

@@ -80,6 +80,11 @@ def page(rows: DataFrame, order: list[Column], *, limit: int = 50, offset: int =
     return rows.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 200))
 
 
+def total(rows: DataFrame) -> DataFrame:
+    """The number of rows all pages of a search hold together."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
+
+
 def page_after(rows: DataFrame, after, *, limit: int, ident: str = "id") -> DataFrame:
     """Keyset page, stable under inserts and independent of the page number."""
     return rows.where(F.col(ident) > after).orderBy(ident).limit(limit)

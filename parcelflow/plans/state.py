@@ -201,6 +201,19 @@ def apply_probes(listings: DataFrame, probes: DataFrame, as_of: str, *, fix: flo
     return marked.drop("p", "__gone", "__fix", "__was"), events
 
 
+def without_photos(listings: DataFrame, source: str | None = None) -> DataFrame:
+    """Active rows that still need photos, most recently seen first."""
+    need = (F.col("status") == "active") & (F.coalesce(F.size("photos"), F.lit(0)) <= 0)
+    if source is not None:
+        need = need & (F.col("source") == source)
+    return listings.where(need).orderBy(F.col("seen_at").desc_nulls_last(), "id")
+
+
+def pending_estimate(listings: DataFrame) -> DataFrame:
+    """C11: active rows that were never valued."""
+    return listings.where((F.col("status") == "active") & F.col("market_basis").isNull())
+
+
 def gate(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plausible rows, rejected rows per source and deal type)."""
     ok = F.coalesce(plausible(), F.lit(False))

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from parcelflow.operators.predicates import sane_active
-from parcelflow.plans import complexes, hubs, search, sellers, yields
+from parcelflow.operators.quantiles import grouped_median
+from parcelflow.plans import complexes, hubs, search, sellers, state, yields
+from parcelflow.plans.history import price_verdict
 from parcelflow.queries.proxy import AS_OF, listings, table, with_listings
 from parcelflow.queries.registry import MED, R, query
 
@@ -25,6 +27,13 @@ def search_page(spark, sf_dir):
     return _card(search.page(search.search(listings(spark, sf_dir), f), search.order_for("discount"), limit=50, offset=10))
 
 
+@query("search_total", with_listings("""SELECT count(*) AS total FROM sane
+  WHERE deal_type = 'sale' AND rooms = 2 AND price_per_m2_usd BETWEEN 500 AND 2500"""))
+def search_total(spark, sf_dir):
+    f = search.Filters(rooms=2, bounds={"price_per_m2_usd": (500, 2500)})
+    return search.total(search.search(listings(spark, sf_dir), f))
+
+
 @query("search_sorts", with_listings(f"""
   (SELECT 'price' AS sort, {_CARD_SQL} FROM sane WHERE deal_type = 'rent' ORDER BY price_usd NULLS LAST, id LIMIT 20)
   UNION ALL
@@ -306,3 +315,22 @@ def stale_selection(spark, sf_dir):
     cutoff = F.expr(f"TIMESTAMP_NTZ '{AS_OF} 00:00:00' - INTERVAL 3 DAYS")
     return listings(spark, sf_dir).where((F.col("status") == "active") & (F.col("seen_at") < cutoff)).groupBy("source").agg(
         F.count(F.lit(1)).alias("stale"), F.count_if(F.col("discount_percent").isNull()).alias("pending"))
+
+
+@query("photo_gaps", with_listings("""SELECT source, count(*) AS missing FROM listings
+  WHERE status = 'active' AND rooms % 2 = 0 GROUP BY source"""))
+def photo_gaps(spark, sf_dir):
+    """C11: odd room counts have photos here."""
+    rows = listings(spark, sf_dir).withColumn("photos", F.expr("IF(rooms % 2 = 0, array(), array('p'))"))
+    return state.without_photos(rows).groupBy("source").agg(F.count(F.lit(1)).alias("missing"))
+
+
+@query("price_verdicts", with_listings(f""", m AS (SELECT complex, {MED('price_per_m2_usd')} AS med FROM sane WHERE deal_type = 'sale' GROUP BY complex),
+  v AS (SELECT (price_per_m2_usd / med - 1) * 100 AS diff FROM sane JOIN m USING (complex) WHERE deal_type = 'sale')
+  SELECT CASE WHEN diff <= -10 THEN 'good' WHEN diff >= 10 THEN 'expensive' ELSE 'in_market' END AS verdict, count(*) AS listings FROM v GROUP BY 1"""))
+def price_verdicts(spark, sf_dir):
+    """B33 against the complex median."""
+    rows = listings(spark, sf_dir).where(sane_active("sale"))
+    med = grouped_median(rows, ["complex"], "price_per_m2_usd", name="med")
+    diff = (F.col("price_per_m2_usd") / F.col("med") - 1) * 100
+    return rows.join(med, "complex").groupBy(price_verdict(diff).alias("verdict")).agg(F.count(F.lit(1)).alias("listings"))

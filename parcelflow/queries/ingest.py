@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import complex_names as CN, text as T
 from parcelflow.functions import vocabulary as V
 from parcelflow.functions.features import blob, material, micro_location, segment, year_after
-from parcelflow.plans import dictionary, hubs, normalise, product
+from parcelflow.plans import dictionary, hubs, normalise, product, state
 from parcelflow.queries.proxy import table
 from parcelflow.queries.registry import R, query
 from parcelflow.sources import payloads
@@ -262,6 +262,33 @@ def district_coverage(spark, sf_dir):
     return normalise.district_coverage(rows)
 
 
+@query("recanonicalise_districts", f"""SELECT district, count(*) AS rows FROM (SELECT {_DISTRICT_SQL} AS district FROM (
+    SELECT lower({_RAW_DISTRICT}) AS d FROM lineitem)) GROUP BY district""")
+def recanonicalise_districts(spark, sf_dir):
+    """L8."""
+    rows = table(spark, sf_dir, "lineitem").select(F.expr(_RAW_DISTRICT).alias("district"))
+    return normalise.recanonicalise(rows).groupBy("district").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("purge_listings", f"""WITH {_LINE} SELECT l_returnflag, count(*) AS kept FROM li
+  WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY l_returnflag""")
+def purge_listings(spark, sf_dir):
+    """Rows of suppliers in debt go."""
+    keys = table(spark, sf_dir, "supplier").where("s_acctbal < 0").selectExpr("s_suppkey AS l_suppkey")
+    return state.purge(table(spark, sf_dir, "lineitem"), keys, ["l_suppkey"]).groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("kept"))
+
+
+@query("known_listings", f"""WITH {_LINE} SELECT l_linestatus, count(*) FILTER (o_orderstatus = 'F') AS known, count(*) FILTER (o_orderstatus <> 'F') AS unknown
+  FROM li JOIN orders ON o_orderkey = l_orderkey GROUP BY l_linestatus""")
+def known_listings(spark, sf_dir):
+    """Finished orders stand for the stored keys."""
+    incoming = table(spark, sf_dir, "lineitem").selectExpr("'board' AS source", "l_orderkey AS source_id", "l_linestatus")
+    stored = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("'board' AS source", "o_orderkey AS source_id")
+    both = state.known(incoming, stored).withColumn("k", F.lit(True)).unionByName(state.unknown(incoming, stored).withColumn("k", F.lit(False)))
+    return both.groupBy("l_linestatus").agg(F.count_if("k").alias("known"), F.count_if(~F.col("k")).alias("unknown"))
+
+
 # Complex names: a part's name in several spellings, some with advert noise, some noise only.
 _NAMES = """CASE p_partkey % 8 WHEN 0 THEN upper(p_name) WHEN 1 THEN p_name || ' вид' WHEN 2 THEN p_name || ' Мирабадский' WHEN 3 THEN 'ЖК ' || p_name
   WHEN 4 THEN p_name || ' Сити' WHEN 5 THEN p_name || ' city ID' WHEN 6 THEN 'СРОЧНО ' || (p_partkey % 10) ELSE p_name END"""

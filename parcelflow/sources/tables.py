@@ -31,3 +31,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, *, mode: str = "append", bat
 def json_strings(text: Column) -> Column:
     """A JSON list of strings; anything unreadable is an empty list."""
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
+def write_catalogue(rows: DataFrame, path: str) -> None:
+    """The URL catalogue as files; rendering it is left to whoever serves it."""
+    rows.write.mode("overwrite").parquet(path)

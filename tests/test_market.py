@@ -96,3 +96,6 @@ def test_hubs(spark):
     slugs = spark.createDataFrame([(7, "Nest One!")], "id long, name string").select(
         hubs.complex_slug(F.col("id"), F.col("name")).alias("s"), hubs.locative(F.lit("Чиланзарский район")).alias("l")).first()
     assert tuple(slugs) == ("7-nest-one", "Чиланзарском районе")
+    made = spark.createDataFrame([("Центр Плаза",), ("Чиланзарский район",), ("Қўқон",)], "x string").select(
+        hubs.complex_slug(F.lit(1), F.col("x")).alias("c"), hubs.district_slug(F.col("x")).alias("d"))
+    assert [tuple(r) for r in made.collect()] == [("1-centr-plaza", "centr-plaza"), ("1-chilanzarskiy-rayon", "chilanzar"), ("1-on", "on")]
