@@ -106,8 +106,8 @@ _OFFER_PAGE = r"""concat('<html><script type="application/ld+json">',
     CASE WHEN l_linestatus = 'F' THEN CAST(l_partkey % 9 + 1 AS INTEGER) END AS floor,
     CASE WHEN l_linestatus = 'F' THEN 'Мирабадский район' ELSE 'Яшнабадский район' END AS district,
     CASE WHEN l_linestatus = 'F' THEN 'Квартира' ELSE 'Квартира у парка' END AS address_raw,
-    CAST(l_suppkey AS VARCHAR) AS seller_id, l_returnflag = 'R' AS is_business, CASE WHEN l_returnflag = 'N' THEN 0.0 END AS commission_pct,
-    'month' AS price_period, 41.25 AS lat, 2 AS photos
+    CAST(l_suppkey AS VARCHAR) AS seller_id, l_returnflag = 'R' AS is_business, CASE WHEN l_returnflag = 'N' THEN 0.0::DOUBLE END AS commission_pct,
+    'month' AS price_period, 41.25::DOUBLE AS lat, 2 AS photos
   FROM li""")
 def payload_offer_pages(spark, sf_dir):
     """A4: half of the adverts appear as offer and card and must come out once."""
