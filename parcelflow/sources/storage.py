@@ -1,24 +1,23 @@
-"""Materialised intermediates in the shared folder the cluster names."""
+"""Materialised intermediates in the shared folder the cluster names.
+
+Every application keeps its intermediates in one sub-folder of its own, which is removed when the
+application ends.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_CONF = "spark.checkpoint.dir"
-
 
 def shared_dir(spark: SparkSession) -> str:
-    """Shared scratch folder: the session's own setting, or a test folder in local mode only."""
-    configured = spark.conf.get(_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CONF} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="parcelflow-")
-    spark.conf.set(_CONF, path)
+    """This application's folder below ``spark.checkpoint.dir``, else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/parcelflow-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return path
 
 
