@@ -35,8 +35,8 @@ WINDOW = 20
 _FIRST_BASE, _SECOND_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _SECOND_SALT = np.uint64(0xA0761D6478BD642F)
 _NO_ID = np.iinfo(np.int64).min
-_FLUSH_WINDOWS = 1_500_000
-_SLICE_BYTES = 4 << 20
+_FLUSH_WINDOWS = 1_000_000
+_SLICE_BYTES = 2 << 20
 
 _PACKED = T.StructType([
     T.StructField("part", T.LongType()),
@@ -127,7 +127,7 @@ def _earlier(hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.nda
     return out
 
 
-def _hash_windows(size: int, buckets: int):
+def _hash_windows(size: int, buckets: int, parts: int):
     def run(batches):
         powers, held, count = _all_powers(), [], 0
 
@@ -138,8 +138,7 @@ def _hash_windows(size: int, buckets: int):
             known = _earlier(one ^ mix(two), docs, starts)
             go, stay = np.flatnonzero(~known), np.flatnonzero(known)
             rows = list(_by_part(bucket[go], _ENTRIES, one[go], docs[go], starts[go]))
-            part = _doc_part(docs[stay], buckets)
-            rows += _by_part(part, _REPEATS, one[stay].astype(np.uint32), docs[stay], starts[stay])
+            rows += _by_part(_doc_part(docs[stay], parts), _REPEATS, one[stay].astype(np.uint32), docs[stay], starts[stay])
             return _rows(rows)
 
         for batch in batches:
@@ -159,8 +158,8 @@ def _hash_windows(size: int, buckets: int):
     return run
 
 
-def _count_windows(buckets: int):
-    """Entries of a whole bucket in, packed repeats out; repeats that are known pass through."""
+def _count_windows(parts: int):
+    """Entries of whole buckets in, packed repeats out, one row for each part; repeats that are known pass through."""
 
     def run(batches):
         bodies: dict[int, list[bytes]] = {}
@@ -173,17 +172,21 @@ def _count_windows(buckets: int):
                     bodies.setdefault(part, []).append(body)
             if known:
                 yield _rows(known)
+        found = []
         for part in list(bodies):
             one, docs, starts = _unpack(bodies.pop(part), np.uint64)
             again = np.flatnonzero(_earlier(one, docs, starts))
-            order = again[np.lexsort((starts[again], docs[again]))]
-            to = _doc_part(docs[order], buckets)
-            yield _rows(list(_by_part(to, _REPEATS, one[order].astype(np.uint32), docs[order], starts[order])))
+            found.append((one[again].astype(np.uint32), docs[again], starts[again]))
+        if found:
+            tags, docs, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((starts, docs))
+            tags, docs, starts = tags[order], docs[order], starts[order]
+            yield _rows(list(_by_part(_doc_part(docs, parts), _REPEATS, tags, docs, starts)))
 
     return run
 
 
-def _remove(size: int, fields: list[pa.Field], emit_spans: bool):
+def _remove(size: int, fields: list[str]):
     """Rows sorted by part, its repeats before its documents."""
 
     def run(batches):
@@ -207,7 +210,7 @@ def _remove(size: int, fields: list[pa.Field], emit_spans: bool):
                     order = np.lexsort((starts, docs))
                     table_, bodies = (docs[order], starts[order], tags[order]), []
                 for piece in slices(run_of.slice(n), "text", _SLICE_BYTES):
-                    yield _kept(piece, table_, size, powers, fields, emit_spans)
+                    yield _kept(piece, table_, size, powers, fields)
 
     return run
 
@@ -218,7 +221,7 @@ def _matches(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
 
 
-def _kept(piece: pa.RecordBatch, repeats: tuple, size: int, powers: tuple, fields: list[pa.Field], emit_spans: bool):
+def _kept(piece: pa.RecordBatch, repeats: tuple, size: int, powers: tuple, fields: list[str]):
     ids = _doc_ids(piece.column("doc_id"))
     words = Words(*text_buffers(piece.column("text")), NOT_SPACE)
     one, _, text, starts = _windows(words, size, powers)
@@ -246,7 +249,7 @@ def _kept(piece: pa.RecordBatch, repeats: tuple, size: int, powers: tuple, field
         keep = np.flatnonzero(~covered[a:b]) + a if n_removed[i] else np.arange(a, b)
         s, e = words.starts[keep].tolist(), words.ends[keep].tolist()
         kept.append(b" ".join([data[x:y] for x, y in zip(s, e, strict=True)]))
-        if emit_spans:
+        if "removed_spans" in fields:
             edge = np.flatnonzero(np.diff(covered[a:b].astype(np.int8), prepend=0, append=0))
             spans.append([{"start": int(x), "stop": int(y)} for x, y in zip(edge[::2], edge[1::2], strict=True)])
     made = {
@@ -254,31 +257,31 @@ def _kept(piece: pa.RecordBatch, repeats: tuple, size: int, powers: tuple, field
         "n_removed": pa.array(n_removed, pa.int64()),
         "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
     }
-    if emit_spans:
+    if "kept_text" in fields:
         made["kept_text"] = pa.array([x.decode("utf-8") for x in kept])
+    if "removed_spans" in fields:
         made["removed_spans"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
     return pa.RecordBatch.from_arrays([made[f] if f in made else piece.column(f) for f in fields], fields)
 
 
 def substring_dedup(documents: DataFrame, *, size: int = WINDOW, buckets: int | None = None,
-                    carry: list[str] | None = None, texts: bool = True) -> DataFrame:
-    """Documents with n_words, n_removed, kept_sha256 and, with ``texts``, kept_text and removed_spans.
+                    carry: list[str] | None = None, outputs: tuple[str, ...] = ("kept_text", "removed_spans")) -> DataFrame:
+    """Documents with n_words, n_removed, kept_sha256 and the named ``outputs``.
 
     ``carry`` names the input columns to keep (default: all but text).  ``buckets`` sets how finely
-    windows and repeats are dealt (default: four for each shuffle partition); one bucket must fit in
-    a task's memory.  ``removed_spans`` are word ranges, the first word being 0.
+    windows are dealt (default: two for each shuffle partition); one bucket must fit in a task's memory.  ``removed_spans`` are word ranges, the first word being 0.
     """
     spark = documents.sparkSession
     carry = [c for c in documents.columns if c != "text"] if carry is None else carry
-    made = ["n_words", "n_removed", "kept_sha256"] + (["kept_text", "removed_spans"] if texts else [])
+    made = ["n_words", "n_removed", "kept_sha256", *outputs]
     if clash := set(made) & set(carry):
         raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * parts
-    packed = documents.select("doc_id", "text").mapInArrow(_hash_windows(size, buckets), _PACKED)
-    repeats = packed.repartition(parts, "part").mapInArrow(_count_windows(buckets), _PACKED)
+    buckets = buckets or 2 * parts
+    packed = documents.select("doc_id", "text").mapInArrow(_hash_windows(size, buckets, parts), _PACKED)
+    repeats = packed.repartition(parts, "part").mapInArrow(_count_windows(parts), _PACKED)
     needed = list(dict.fromkeys([*carry, "doc_id", "text"]))
-    own = documents.select(*needed, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))), F.lit(buckets)).alias("__part"), F.lit(None).cast("binary").alias("__body"))
+    own = documents.select(*needed, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))), F.lit(parts)).alias("__part"), F.lit(None).cast("binary").alias("__body"))
     there = repeats.select(*[F.lit(None).cast(documents.schema[c].dataType).alias(c) for c in needed],
                            F.col("part").alias("__part"), F.col("body").alias("__body"))
     both = (own.unionByName(there).repartition(parts, "__part")
@@ -287,7 +290,22 @@ def substring_dedup(documents: DataFrame, *, size: int = WINDOW, buckets: int |
              "removed_spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))}
     fields = [*carry, *made]
     schema = T.StructType([T.StructField(c, kinds[c] if c in kinds and c in made else documents.schema[c].dataType) for c in fields])
-    return both.mapInArrow(_remove(size, fields, texts), schema)
+    return both.mapInArrow(_remove(size, fields), schema)
+
+
+def without_repeats(documents: DataFrame, *, size: int = WINDOW) -> DataFrame:
+    """The documents with their repeats cut out, columns as they were; untouched texts stay as they are.
+
+    A text that lost words is its kept words joined by one space, and n_chars, if there is such a column, is its length.
+    """
+    plain = documents.toDF(*[c if c in ("doc_id", "text") else f"__{i}" for i, c in enumerate(documents.columns)])
+    cut = substring_dedup(plain, size=size, carry=plain.columns, outputs=("kept_text",))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    out = {c: F.col(p) for c, p in zip(documents.columns, plain.columns, strict=True)}
+    if "n_chars" in out:
+        kept = F.char_length("kept_text").cast(documents.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(F.col("n_removed") > 0, kept).otherwise(out["n_chars"])
+    return cut.select(*[x.alias(c) for c, x in (out | {"text": text}).items()])
 
 
 ORACLE = r"""
@@ -306,4 +324,4 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 
 @query("op1_substring_dedup", ORACLE)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"], texts=False)
+    return substring_dedup(table(spark, sf_dir, "documents"), carry=["doc_id"], outputs=())

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 _BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK_WORDS = 400_000
+_CHUNK_WORDS = 200_000
 
 
 def byte_class(ranges: list[tuple[int, int]]) -> np.ndarray:
