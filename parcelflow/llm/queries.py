@@ -1,4 +1,15 @@
 """Importing this module fills the registry."""
 
-from parcelflow.llm import op1_substring_dedup  # noqa: F401
+from parcelflow.llm import (  # noqa: F401
+    op1_substring_dedup,
+    op2_html_extraction,
+    op3_language_id,
+    op4_sharding,
+    op5_chat_format,
+    op6_best_fit_packing,
+    op7_quality_ranking,
+    op8_simhash_golay,
+    op9_decontaminate,
+    op10_topk_search,
+)
 from parcelflow.llm.registry import ORACLE, QUERIES  # noqa: F401
