@@ -29,3 +29,6 @@ FX_NOISE_RATIO = (0.90, 1.02)
 PROBE_PRICE_TOLERANCE = 0.01
 PLAN_ALERT_CAP = {"free": 1, "pro": 5, "agent": None}
 UNSPECIFIED_DISTRICT = "Не указан"
+MAX_PAGE = 200
+MAX_PHOTOS = {"flat_api": 8, "nested_api": 8, "offer_page": 5}
+MAX_ADDRESS = 180

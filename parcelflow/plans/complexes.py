@@ -48,3 +48,9 @@ def complex_rooms(listings: DataFrame, *, key: str = "complex", deal_type: str =
     base = listings.where(sane_active(deal_type) & F.col(key).isNotNull() & F.col("rooms").between(1, 5))
     return grouped_median(base, [key, "rooms"], "price_usd", name="median_price", count_name="count").withColumn(
         "median_price", F.round("median_price", 2))
+
+
+def with_complex_name(listings: DataFrame, complexes: DataFrame, *, link: str = "residential_complex_id") -> DataFrame:
+    """Each listing with its complex's name, NULL without a link or when the link points nowhere."""
+    names = complexes.select(F.col("id").alias(link), F.col("name").alias("complex_name"))
+    return listings.join(names, link, "left")

@@ -18,8 +18,9 @@ def fingerprint(district: Column, address: Column, rooms: Column, area: Column,
     """SHA-1 over the flat's coarse description; buckets round half to even."""
     area_bucket = (F.bround(area / 2) * 2).cast("long")
     price_bucket = (F.bround(price / 2500) * 2500).cast("long")
-    return F.sha1(F.concat_ws("|", district, address, rooms.cast("string"),
-                              area_bucket.cast("string"), price_bucket.cast("string")))
+    # an unknown part keeps its place, so it cannot shift into its neighbour's
+    parts = (district, address, rooms.cast("string"), area_bucket.cast("string"), price_bucket.cast("string"))
+    return F.sha1(F.concat_ws("|", *[F.coalesce(p, F.lit("\u0000")) for p in parts]))
 
 
 def rank_key(ident: str = "id") -> Column:
@@ -101,7 +102,7 @@ def floor_groups(clustered: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def merge_duplicates(listings: DataFrame, *, exact_keys: list[str] = EXACT_KEYS, flat_keys: list[str] = FLAT_KEYS,
-                     tolerance: float = K.DUPLICATE_PRICE_TOLERANCE, fold_limit: int = 100_000) -> dict[str, DataFrame]:
+                     tolerance: float = K.DUPLICATE_PRICE_TOLERANCE) -> dict[str, DataFrame]:
     """L1: exact copies first, then reposts of the same flat among the survivors.
 
     Returns ``links`` (dropped id, surviving id, pass), ``survivors`` (listings with gaps filled
@@ -115,7 +116,7 @@ def merge_duplicates(listings: DataFrame, *, exact_keys: list[str] = EXACT_KEYS,
     kept = materialise(kept, "exact-kept")
     clustered = floor_groups(
         pivot_clusters(kept.where(F.col("rooms").isNotNull() & F.col("area_m2").isNotNull()),
-                       flat_keys, "price_usd", tolerance, fold_limit=fold_limit), flat_keys)
+                       flat_keys, "price_usd", tolerance), flat_keys)
     group = [*flat_keys, "pivot", "floor_group"]
     second, second_links = merge_groups(clustered, group)
     second_links = materialise(second_links, "flat-links")

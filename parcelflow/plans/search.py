@@ -77,7 +77,9 @@ def hub_order(ident: str = "id") -> list[Column]:
 
 def page(rows: DataFrame, order: list[Column], *, limit: int = 50, offset: int = 0) -> DataFrame:
     """One page of 1 to 200 rows; Spark keeps only ``offset + limit`` rows per task."""
-    return rows.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 200))
+    if not 1 <= limit <= K.MAX_PAGE or offset < 0:
+        raise ValueError(f"limit must be 1 to {K.MAX_PAGE} and offset not negative, not {limit} and {offset}")
+    return rows.orderBy(*order).offset(offset).limit(limit)
 
 
 def total(rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow import constants as K
 from parcelflow.operators.keys import join_on
+from parcelflow.operators.pivot_clusters import pivot_clusters
 from parcelflow.operators.predicates import plausible, price_drop
 from parcelflow.plans import resolve
 from parcelflow.plans.history import gap_days
@@ -40,20 +41,30 @@ def needs_probe(incoming: DataFrame, stored: DataFrame) -> DataFrame:
         & (F.col("price_usd") > 0) & ~ratio.between(*K.FX_NOISE_RATIO)).drop("held_currency")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, as_of: str, *,
-           preserve_sources: tuple[str, ...] = DETAIL_PRICED_SOURCES) -> tuple[DataFrame, DataFrame]:
+def upsert(stored: DataFrame, incoming: DataFrame, as_of: str, *, preserve_sources: tuple[str, ...] = DETAIL_PRICED_SOURCES,
+           routed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """K1/K2 in batch form; returns (new snapshot, events).
 
     Incoming rows carry ``price_usd``, ``price_per_m2_usd``, ``duplicate_group_key`` and an ``id``;
-    stored rows the same columns plus ``status`` and ``seen_at``.  The batch is settled as a set:
+    stored rows the same columns plus ``status`` and ``seen_at``.  ``routed`` is the result of :func:`route`, if it
+    is at hand already.  The batch is settled as a set:
 
     * the latest row per (source, source_id) counts;
     * a row whose key is stored updates that listing;
     * otherwise it joins the stored listing with its fingerprint, or the same flat within the
       price tolerance, and overwrites the displayed fields only when it asks less;
-    * the rest are new; new rows sharing a fingerprint become one listing, the cheapest.
+    * the rest are new; new rows sharing a fingerprint, or the same flat within the price tolerance,
+      become one listing, the cheapest.  A missing fingerprint equals no other;
+    * a confirmed price of a ``preserve_sources`` listing outlives their search-page figures, whether
+      these come under its own key or as a cheaper repost.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
+    routed = route(stored, incoming) if routed is None else routed
+    return _settled_snapshot(stored, routed, now, preserve_sources), _upsert_events(routed, stored, now, preserve_sources)
+
+
+def route(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The batch's rows with the listing they belong to (``target``) and ``how`` they got there."""
     batch = materialise(
         incoming.withColumn("__rn", F.row_number().over(
             Window.partitionBy(*KEY).orderBy(F.col("published_at").desc_nulls_last(), "price_usd", "id")))
@@ -68,13 +79,46 @@ def upsert(stored: DataFrame, incoming: DataFrame, as_of: str, *,
     still = rest.join(by_print.select("id"), "id", "left_anti")
     flat = resolve.same_flat(still, stored).select("id", F.col("duplicate_id").alias("target"))
     by_flat = still.join(flat, "id").withColumn("how", F.lit("duplicate"))
-    fresh = still.join(flat, "id", "left_anti")
-    lead = fresh.groupBy("deal_type", "duplicate_group_key").agg(F.min(F.struct("price_usd", "id")).alias("k")).select(
-        "deal_type", "duplicate_group_key", F.col("k.id").alias("target"))
-    new = join_on(fresh, lead, ["deal_type", "duplicate_group_key"]).withColumn(
+    fresh = materialise(still.join(flat, "id", "left_anti"), "upsert-fresh")
+    new = fresh.join(_new_groups(fresh), "id").withColumn(
         "how", F.when(F.col("id") == F.col("target"), "new").otherwise("duplicate"))
-    routed = materialise(by_key.unionByName(by_print).unionByName(by_flat).unionByName(new), "upsert-routed")
-
+    return materialise(by_key.unionByName(by_print).unionByName(by_flat).unionByName(new), "upsert-routed")
+
+
+def _new_groups(fresh: DataFrame) -> DataFrame:
+    """(id, target) of rows that are new together: one fingerprint first, then one flat among the cheapest of these."""
+    cheapest = F.min(F.struct(F.coalesce("price_usd", F.lit(float("inf"))).alias("price"), F.col("id"))).alias("k")
+    printed = fresh.where(F.col("duplicate_group_key").isNotNull())
+    lead = printed.groupBy("deal_type", "duplicate_group_key").agg(cheapest).select(
+        "deal_type", "duplicate_group_key", F.col("k.id").alias("lead"))
+    by_print = join_on(printed.select("id", "deal_type", "duplicate_group_key"), lead, ["deal_type", "duplicate_group_key"]).select("id", "lead")
+    leads = materialise(by_print.unionByName(
+        fresh.where(F.col("duplicate_group_key").isNull()).select("id", F.col("id").alias("lead"))), "upsert-leads")
+    heads = fresh.join(leads.select(F.col("lead").alias("id")).distinct(), "id", "left_semi").where(
+        F.col("rooms").isNotNull() & F.col("area_m2").isNotNull())
+    flats = resolve.floor_groups(
+        pivot_clusters(heads, resolve.FLAT_KEYS, "price_usd", K.DUPLICATE_PRICE_TOLERANCE), resolve.FLAT_KEYS)
+    group = [*resolve.FLAT_KEYS, "pivot", "floor_group"]
+    first = flats.groupBy(*group).agg(cheapest).select(*group, F.col("k.id").alias("first"))
+    by_flat = join_on(flats.select("id", *group), first, group).select(F.col("id").alias("lead"), "first")
+    return leads.join(by_flat, "lead", "left").select("id", F.coalesce("first", "lead").alias("target"))
+
+
+def source_url_rows(links: DataFrame, routed: DataFrame) -> DataFrame:
+    """K1/H4: the listings' (listing_id, source, url) rows with those of a routed batch; each counts once."""
+    more = routed.select(F.col("target").alias("listing_id"), "source", "url")
+    return links.select("listing_id", "source", "url").unionByName(more).distinct()
+
+
+def with_duplicate_count(snapshot: DataFrame, links: DataFrame) -> DataFrame:
+    """The listings with the number of places they are offered at, one at least."""
+    counts = links.groupBy(F.col("listing_id").alias("id")).agg(F.count(F.lit(1)).alias("__n"))
+    return snapshot.drop("duplicate_count").join(counts, "id", "left").withColumn(
+        "duplicate_count", F.coalesce("__n", F.lit(1)).cast("int")).drop("__n")
+
+
+def _settled_snapshot(stored: DataFrame, routed: DataFrame, now: Column, preserve_sources: tuple[str, ...]) -> DataFrame:
+    batch = routed.drop("target", "how")
     # One row per target: the first row (known or new) sets the base, the cheapest duplicate may beat it.
     row = F.struct(*[c for c in batch.columns])
     duplicate = F.col("how") == "duplicate"
@@ -91,10 +135,14 @@ def upsert(stored: DataFrame, incoming: DataFrame, as_of: str, *,
     old_row = stored.select(F.col("id").alias("target"), F.struct(*stored.columns).alias("old"))
     merged = hits.join(old_row, "target", "full_outer")
     old_price = F.col("old.price_usd")
-    keeps_price = F.coalesce(
-        F.col("main.source").isin(*preserve_sources) & (F.upper(F.col("main.currency")) == "UZS")
-        & F.col("old.source").isin(*preserve_sources) & (F.upper(F.col("old.currency")) == "USD") & (old_price > 0),
-        F.lit(False))
+
+    def outlived(row: str) -> Column:
+        return F.coalesce(
+            F.col(f"{row}.source").isin(*preserve_sources) & (F.upper(F.col(f"{row}.currency")) == "UZS")
+            & F.col("old.source").isin(*preserve_sources) & (F.upper(F.col("old.currency")) == "USD") & (old_price > 0),
+            F.lit(False))
+
+    keeps_price = outlived("main")
     base_price = F.when(F.col("main").isNull() | keeps_price, old_price).otherwise(F.col("main.price_usd"))
     cheaper = F.coalesce(F.col("cheap.price_usd") < base_price, F.col("cheap").isNotNull() & base_price.isNull(), F.lit(False))
     touched = F.col("main").isNotNull() | F.col("cheap").isNotNull()
@@ -115,7 +163,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, as_of: str, *,
             if c in KEEP_WHEN_UNKNOWN:
                 out[c] = F.when(cheaper, F.coalesce(cheap, main, old)).otherwise(F.coalesce(main, old))
             elif c in PRICE_COLUMNS:
-                out[c] = F.when(cheaper, cheap).when(F.col("main").isNull() | keeps_price, old).otherwise(main)
+                out[c] = F.when(cheaper & ~outlived("cheap"), cheap).when(F.col("main").isNull() | keeps_price, old).otherwise(main)
             elif c in ("floor", "total_floors"):
                 spare = F.col("any_floor" if c == "floor" else "any_total")
                 out[c] = F.when(cheaper, F.coalesce(cheap, spare)).when(
@@ -127,10 +175,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, as_of: str, *,
                 out[c] = F.when(takes, F.col(f"point.{c}")).otherwise(old)
             else:
                 out[c] = F.when(cheaper, cheap).when(F.col("main").isNotNull(), main).otherwise(old)
-    snapshot = merged.select(*[v.alias(k) for k, v in out.items()])
-
-    events = _upsert_events(routed, stored, now, preserve_sources)
-    return snapshot, events
+    return merged.select(*[v.alias(k) for k, v in out.items()])
 
 
 def _upsert_events(routed: DataFrame, stored: DataFrame, now: Column, preserve: tuple[str, ...]) -> DataFrame:

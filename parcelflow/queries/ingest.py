@@ -1,7 +1,7 @@
 """Payload parsing, normalising, features and the complex dictionary.
 
-Listing payloads are derived from the order tables: every lineitem is one landed page in the layout at
-hand.  Pages with several adverts are covered by the tests.
+Listing payloads are derived from the order tables: every order is one landed page in the layout at
+hand, its lineitems are the adverts on it.
 """
 
 from pyspark.sql import functions as F
@@ -9,22 +9,23 @@ from pyspark.sql import functions as F
 from parcelflow.functions import complex_names as CN, text as T
 from parcelflow.functions import vocabulary as V
 from parcelflow.functions.features import blob, material, micro_location, segment, year_after
-from parcelflow.plans import dictionary, hubs, normalise, product, state
+from parcelflow.plans import complexes, dictionary, hubs, normalise, product, state
+from parcelflow.plans.alerts import csv_ints
 from parcelflow.queries.proxy import table
 from parcelflow.queries.registry import R, query
 from parcelflow.sources import payloads
 from parcelflow.sources.schemas import duplicate_keys
+from parcelflow.sources.tables import json_strings
 
 _LINE = "li AS (SELECT *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS lid FROM lineitem)"
 
 
 def _pages(spark, sf_dir, layout, item, page, deal="sale"):
-    """One landed page per lineitem; ``item`` and ``page`` are SQL expressions over the row and its list of items."""
+    """One landed page per order; ``item`` and ``page`` are SQL expressions over a row and the page's list of items."""
     li = table(spark, sf_dir, "lineitem").withColumn("lid", F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"))
-    # Parsing is heavy per byte, so the rows are spread over all cores before pages are made of them.
-    li = li.repartition(spark.sparkContext.defaultParallelism, "lid")
-    return li.selectExpr("lid", f"array(named_struct('lid', lid, 'item', {item})) AS items").selectExpr(
-        f"'{layout}' AS source", f"'{layout}' AS layout", f"'{deal}' AS deal_type", "lid AS page_id",
+    pages = li.groupBy("l_orderkey").agg(F.expr(f"sort_array(collect_list(named_struct('line', l_linenumber, 'lid', lid, 'item', {item})))").alias("items"))
+    return pages.selectExpr(
+        f"'{layout}' AS source", f"'{layout}' AS layout", f"'{deal}' AS deal_type", "CAST(l_orderkey AS STRING) AS page_id",
         "CAST(NULL AS TIMESTAMP_NTZ) AS fetched_at", f"{page} AS body")
 
 
@@ -45,7 +46,7 @@ _FLAT_ITEM = """named_struct('id', lid, 'isActive', l_returnflag <> 'A', 'modera
 def payload_flat_api(spark, sf_dir):
     p = _pages(spark, sf_dir, "flat_api", _FLAT_ITEM, "to_json(named_struct('total', size(items), 'results', items.item))")
     places = table(spark, sf_dir, "nation").selectExpr("n_nationkey AS id", "n_name AS name")
-    return payloads.parse_payloads(p, locations=places).select(
+    return payloads.parse_payloads(p, locations=places, layouts=["flat_api"]).select(
         "source_id", "price", "currency", "area_m2", "rooms", "district", "address_raw", "floor",
         F.size("photos").alias("photos"), "seller_id")
 
@@ -63,7 +64,7 @@ _NESTED_ITEM = """named_struct('id', lid, 'attributes', named_struct(
   FROM li WHERE l_returnflag <> 'A'""")
 def payload_nested_api(spark, sf_dir):
     p = _pages(spark, sf_dir, "nested_api", _NESTED_ITEM, "to_json(named_struct('data', items.item))")
-    return payloads.parse_payloads(p).select(
+    return payloads.parse_payloads(p, layouts=["nested_api"]).select(
         "source_id", "price", "area_m2", "rooms", "floor", "total_floors", "district", "seller_type",
         F.array_join("photos", "|").alias("photos"))
 
@@ -78,7 +79,7 @@ _CARD_ITEM = """concat('<article data-listing data-id="', lid, '" data-price="',
     'Flat & ' || l_returnflag AS title, 'Сергелийский район' AS district, '#' AS url, 1 AS photos FROM li""")
 def payload_cards(spark, sf_dir):
     p = _pages(spark, sf_dir, "cards", _CARD_ITEM, "concat('<html><body>', array_join(items.item, ' '), '</body></html>')")
-    return payloads.parse_payloads(p).select(
+    return payloads.parse_payloads(p, layouts=["cards"]).select(
         "source_id", "price", "currency", "area_m2", "rooms", "floor", "total_floors", "title", "district", "url", F.size("photos").alias("photos"))
 
 
@@ -112,7 +113,7 @@ _OFFER_PAGE = r"""concat('<html><script type="application/ld+json">',
 def payload_offer_pages(spark, sf_dir):
     """A4: half of the adverts appear as offer and card and must come out once."""
     p = _pages(spark, sf_dir, "offer_page", _OFFER_ITEM, _OFFER_PAGE, deal="rent")
-    return payloads.parse_payloads(p).select(
+    return payloads.parse_payloads(p, layouts=["offer_page"]).select(
         "source_id", "price", "currency", "area_m2", "rooms", "floor", "district", "address_raw", "seller_id", "is_business",
         "commission_pct", "price_period", "lat", F.size("photos").alias("photos"))
 
@@ -339,13 +340,105 @@ def dictionary_links(spark, sf_dir):
     return dictionary.merge_complexes(d, rows)["listings"].select("id", "residential_complex_id")
 
 
-@query("complex_names")
+# The same steps on lists: words, their Latin form, noise and place marks.
+_PLAIN_SPLIT = "[^0-9A-Za-zА-Яа-яЁёЎўҚқҒғҲҳ]+"
+_LATIN_SQL = "translate(lower({r}), '" + "".join(V.TRANSLIT_SINGLE) + "', '" + "".join(V.TRANSLIT_SINGLE.values()) + "')"
+for _letter, _latin in V.TRANSLIT_MULTI.items():
+    _LATIN_SQL = f"replace({_LATIN_SQL}, '{_letter}', '{_latin}')"
+_NOISE_SQL = "^(?:" + "|".join(V.COMPLEX_NOISE) + r"|\d+|.|u\d?k\d?|id\d*|[abr]\d+)$"
+_PLACE_SQL = "^(?:" + "|".join(V.DISTRICT_TOKENS) + ")$|(?:" + "|".join(V.DISTRICT_ENDINGS) + ")$"
+_PHONETIC_SQL = "CASE t.canon " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in V.PHONETIC.items()) + " ELSE t.canon END"
+
+
+def _tokens_sql(text):
+    words = f"""list_transform(regexp_split_to_array({text}, '{_PLAIN_SPLIT}'),
+      lambda r: {{'raw': r, 'canon': regexp_replace({_LATIN_SQL.format(r='r')}, '[^a-z0-9]+', '', 'g')}})"""
+    return f"""list_transform(list_filter({words}, lambda t: t.canon <> ''),
+      lambda t: {{'raw': t.raw, 'canon': t.canon, 'noise': regexp_matches(t.canon, '{_NOISE_SQL}'), 'place': regexp_matches(t.canon, '{_PLACE_SQL}')}})"""
+
+
+def _branded_sql(tokens):
+    return f"CASE WHEN len(list_filter({tokens}, lambda t: NOT t.place)) > 0 THEN list_filter({tokens}, lambda t: NOT t.place) ELSE {tokens} END"
+
+
+def _written_sql(tokens):
+    return f"trim(array_to_string(list_transform(({tokens})[1:4], lambda t: t.raw), ' '))"
+
+
+_SPOKEN = r"(?i:жк|ж/к|ж\.\s?к|жилой\s+комплекс|residential\s+complex)[\s:«»“”‘’„‟\"''`\-–—]*"
+_NAMED_SQL = r"(?:^|[^A-Za-zА-Яа-яЁё0-9])" + _SPOKEN + r"([A-Za-zА-ЯЁ][\p{L}\p{M}\p{N}_&.\-]*(?:\s+[A-Za-zА-Яа-яЁё][\p{L}\p{M}\p{N}_&.\-]*){0,5})"
+
+
+@query("complex_names", f"""WITH a AS (SELECT id, 'квартира в ЖК «' || text || '» срочно' AS said FROM ({_ADVERTS})),
+  n AS (SELECT id, {_tokens_sql(f"regexp_extract(said, '{_NAMED_SQL}', 1)")} AS tokens FROM a),
+  s AS (SELECT id, tokens, list_position(list_transform(tokens, lambda t: t.noise), true) AS stop FROM n),
+  l AS (SELECT id, (CASE WHEN stop > 0 THEN tokens[1:stop - 1] ELSE tokens END)[1:6] AS lead FROM s),
+  w AS (SELECT id, {_written_sql(_branded_sql('lead'))} AS name FROM l),
+  k AS (SELECT id, name, list_filter({_tokens_sql('name')}, lambda t: NOT t.noise) AS kept FROM w)
+  SELECT id, CASE WHEN length(array_to_string(list_transform({_branded_sql('kept')}, lambda t: {_PHONETIC_SQL}), '')) >= 2 THEN name END AS name FROM k""")
 def complex_names(spark, sf_dir):
     """B15 on whole texts: names behind a complex keyword."""
-    texts = _adverts(spark, sf_dir).withColumn("t", F.concat(F.lit("квартира в ЖК «"), F.initcap("text"), F.lit("» срочно")))
+    texts = _adverts(spark, sf_dir).withColumn("t", F.concat(F.lit("квартира в ЖК «"), "text", F.lit("» срочно")))
     return texts.select("id", CN.extract_name(F.col("t")).alias("name"))
 
 
+@query("clean_names", f"""WITH d AS (SELECT p_partkey AS id, {_NAMES} AS name FROM part),
+  k AS (SELECT id, list_filter({_tokens_sql('name')}, lambda t: NOT t.noise) AS kept FROM d)
+  SELECT id, {_written_sql(_branded_sql('kept'))} AS name FROM k""")
+def clean_names(spark, sf_dir):
+    """B14 on every spelling of the dictionary."""
+    d, _ = _rows_for_dictionary(spark, sf_dir)
+    return d.select("id", CN.clean_name(F.col("name")).alias("name"))
+
+
+@query("text_furnished", """SELECT p_partkey AS id, [true, false, false, true, NULL][1 + p_partkey % 5] AS is_furnished FROM part""")
+def text_furnished(spark, sf_dir):
+    """Mentions, denials and silence in a part's advert."""
+    said = F.element_at(F.array(*[F.lit(x) for x in ("сдаётся С мебелью", "без  мебели", "не меблирована, есть мебель на кухне",
+                                                     "Вся мебель новая", "ремонт")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.furnished(F.concat("p_name", F.lit(" "), said)).alias("is_furnished"))
+
+
+@query("text_instants", "SELECT event_id, ts AS at, CAST(NULL AS TIMESTAMP) AS broken FROM events")
+def text_instants(spark, sf_dir):
+    """ISO date-times with and without offsets."""
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    offset = F.element_at(F.array(*[F.lit(x) for x in ("Z", "+05:00", "", "-0330")]), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", T.instant(F.concat(iso, offset)).alias("at"), T.instant(F.concat(F.lit("on "), iso)).alias("broken"))
+
+
+@query("json_lists", """SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN [p_name, p_type] ELSE [] END AS photos,
+  CASE WHEN p_partkey % 2 = 0 THEN [p_size, 7] ELSE [7] END AS rooms FROM part""")
+def json_lists(spark, sf_dir):
+    """JSON lists with broken ones among them, comma lists with blanks and words."""
+    photos = F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.array("p_name", "p_type"))).when(F.col("p_partkey") % 3 == 1, F.lit("[\"a\", "))
+    rooms = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.lit("any")), F.lit(" , , 7 "))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), json_strings(photos).alias("photos"),
+                                               csv_ints(rooms).alias("rooms"))
+
+
+@query("probe_candidates", f"""WITH {_LINE} SELECT lid AS source_id FROM li
+  WHERE l_tax > 0.04 AND NOT (round(1 - 2 * l_discount, 6) BETWEEN 0.90 AND 1.02)""")
+def probe_candidates(spark, sf_dir):
+    """Half of the rows come back in the national currency, off by twice their discount."""
+    li = table(spark, sf_dir, "lineitem").selectExpr("'board' AS source", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS source_id",
+                                                     "l_extendedprice AS p", "l_discount", "l_tax")
+    stored = li.selectExpr("source", "source_id", "'USD' AS currency", "CAST(100 AS DOUBLE) AS price_usd")
+    incoming = li.selectExpr("source", "source_id", "IF(l_tax > 0.04, 'UZS', 'USD') AS currency", "round(100 * (1 - 2 * l_discount), 4) AS price_usd")
+    return state.needs_probe(incoming, stored).select("source_id")
+
+
+@query("listing_complex_names", f"""WITH {_LINE} SELECT lid AS id, CASE WHEN l_partkey % 5 > 0 THEN p_name END AS complex_name
+  FROM li JOIN part ON p_partkey = l_partkey""")
+def listing_complex_names(spark, sf_dir):
+    """Every listing with the name of its complex; a fifth of the links point nowhere."""
+    rows = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id", "l_partkey AS residential_complex_id")
+    names = table(spark, sf_dir, "part").where("p_partkey % 5 > 0").selectExpr("p_partkey AS id", "p_name AS name")
+    return complexes.with_complex_name(rows, names).select("id", "complex_name")
+
+
 @query("slugs", """SELECT c_custkey AS id, c_custkey || '-' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
     (1 + c_custkey % 6) || '-komnatnye' AS rooms_slug, c_custkey AS back, CAST(1 + c_custkey % 6 AS INTEGER) AS rooms_back FROM customer""")
 def slugs(spark, sf_dir):

@@ -83,6 +83,19 @@ def test_incremental_scope_holds_every_changed_estimate(spark):
     old = {r[0]: tuple(r) for r in C.estimates(compared(spark, before)).select(*cols).collect()}
     base = C.features(listings(spark, after))
     new = {r[0]: tuple(r) for r in C.estimates(C.comparables(base)).select(*cols).collect()}
-    part = {r[0]: tuple(r) for r in C.estimates(C.comparables(base, C.changed_and_neighbours(base, changed))).select(*cols).collect()}
+    was = C.features(listings(spark, before))
+    part = {r[0]: tuple(r) for r in C.estimates(C.comparables(base, C.changed_and_neighbours(was, base, changed))).select(*cols).collect()}
     assert {**old, **part} == new
     assert len(part) < len(rows)
+
+
+def test_incremental_scope_follows_removed_moved_and_placeless_rows(spark):
+    rows = [{"ppm": 900.0 + 7 * i, "district": d, "complex": None, "rooms": 2} for i, d in enumerate([*"DDDDEEEE", None, None])]
+    before = C.features(listings(spark, rows))
+    after_rows = listings(spark, rows).where("id <> '1'").withColumn("district", F.expr("IF(id = '5', 'D', district)"))
+    after = C.features(after_rows)
+    changed = spark.createDataFrame([("1",), ("5",), ("9",)], "id string")
+    scope = {r.id for r in C.changed_and_neighbours(before, after, changed).collect()}
+    assert scope == {"2", "3", "4", "5", "6", "7", "8", "9", "10"}
+    only = {r.id for r in C.changed_and_neighbours(before, after, changed.where("id = '9'")).collect()}
+    assert only == {"9", "10"}

@@ -114,3 +114,35 @@ def test_hot_listing_timeline_is_split_but_whole(spark):
     got = history.sightings_with_previous(rows)
     plain = rows.withColumn("p", F.lag("price_usd").over(Window.partitionBy("listing_key").orderBy("seen_at", "id")))
     assert table(got, "id", "prev.price_usd") == table(plain, "id", "p")
+
+
+def test_confirmed_price_outlives_a_cheaper_repost(spark):
+    snapshot, events = upsert(
+        spark, [{"id": "a", "source": "offer_page", "source_id": "A", "price_usd": 100000.0, "duplicate_group_key": "k"}],
+        [{"id": "x", "source": "offer_page", "source_id": "X", "price_usd": 95000.0, "currency": "UZS", "duplicate_group_key": "k", "title": "new"}])
+    assert table(snapshot, "id", "source_id", "title", "price_usd", "currency") == [("a", "X", "new", 100000.0, "USD")]
+    assert events.count() == 0
+
+
+def test_new_rows_of_one_flat_become_one_listing(spark):
+    new = [{"id": "x", "source_id": "X", "price_usd": 95000.0, "duplicate_group_key": "k1"},
+           {"id": "y", "source_id": "Y", "price_usd": 96000.0, "duplicate_group_key": "k2"},
+           {"id": "z", "source_id": "Z", "price_usd": 96000.0, "duplicate_group_key": "k2", "floor": 8, "district": "E"}]
+    snapshot, events = upsert(spark, [], new)
+    assert table(snapshot, "id", "price_usd") == [("x", 95000.0)]
+    assert table(events, "listing_id", "event_type") == [("x", "first_seen")]
+
+
+def test_rows_without_fingerprint_stay_apart(spark):
+    new = [{"id": "x", "source_id": "X", "price_usd": 95000.0, "duplicate_group_key": None, "district": "D"},
+           {"id": "y", "source_id": "Y", "price_usd": 95000.0, "duplicate_group_key": None, "district": "E"}]
+    snapshot, _ = upsert(spark, [], new)
+    assert table(snapshot, "id") == [("x",), ("y",)]
+
+
+def test_reposts_add_their_urls(spark):
+    stored = listings(spark, [{"id": "a", "source_id": "A", "price_usd": 1e5, "duplicate_group_key": "k", "url": "u1"}])
+    incoming = listings(spark, [{"id": "x", "source_id": "X", "price_usd": 1.2e5, "duplicate_group_key": "k", "url": "u2"}]).drop("status", "seen_at")
+    links = state.source_url_rows(stored.select(F.col("id").alias("listing_id"), "source", "url"), state.route(stored, incoming))
+    assert table(links, "listing_id", "url") == [("a", "u1"), ("a", "u2")]
+    assert table(state.with_duplicate_count(stored, links), "id", "duplicate_count") == [("a", 2)]
