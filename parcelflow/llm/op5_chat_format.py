@@ -30,6 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from parcelflow.llm.registry import query, table
+from parcelflow.llm.worker import once
 
 TURN, SAYS, DONE = "<|turn|>", "<|says|>", "<|done|>"
 _CONTROL = regex.compile(r"<(\\*)\|")
@@ -119,7 +120,7 @@ def _formatted(path: str, loss_role: str, batch_chars: int):
         return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], kind) for f, kind in zip(_SCHEMA, kinds, strict=True)], [f.name for f in _SCHEMA])
 
     def run(batches):
-        tok, held, size = tokenizer(path), [], 0
+        tok, held, size = once(("chat", path), lambda: tokenizer(path)), [], 0
         for conv, turns in _conversations(batches):
             held.append((conv, turns))
             size += sum(len(t) for _, t in turns)

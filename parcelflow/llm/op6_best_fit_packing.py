@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import slices
+from parcelflow.llm.worker import once
 from parcelflow.sources.storage import materialise
 
 CAPACITY = 2048
 END = 0
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 2 << 20
 
 
 def _encoder(path: str):
@@ -55,7 +56,7 @@ def tokenised_pieces(documents: DataFrame, *, tokenizer: str, capacity: int = CA
             T.StructField("ids_crc32", T.LongType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])
 
     def run(batches):
-        encode = _encoder(tokenizer)
+        encode = once(("encoder", tokenizer), lambda: _encoder(tokenizer))
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
                 row, rows, tokens = [], [], []
