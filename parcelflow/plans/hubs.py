@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow import constants as K
@@ -90,6 +92,26 @@ def related_slices(slices: DataFrame) -> DataFrame:
     return join_on(join_on(combos, by_district, ["deal_type", "district"]), by_rooms, ["deal_type", "rooms"])
 
 
+def related_links(slices: DataFrame) -> DataFrame:
+    """For each slice the slices its page links to, as rows; only slices that exist are linked.
+
+    A district page links to its room counts and to the other districts, a rooms page to its districts and the other
+    room counts, a combined page to the other room counts of the district and the other districts with its rooms.
+    """
+    rows = slices.select("deal_type", "level", "district", "rooms")
+    to = slices.select("deal_type", F.col("level").alias("to_level"), F.col("district").alias("to_district"), F.col("rooms").alias("to_rooms"))
+    d, r, both = (F.lit(x) for x in ("district", "rooms", "district_rooms"))
+
+    def linked(source: Column, target: Column, keys: list[str], differs: list[str]) -> DataFrame:
+        a, b = rows.where(F.col("level") == source), to.where(F.col("to_level") == target)
+        on = [F.col(k) == F.col(f"to_{k}") for k in keys] + [F.col(k) != F.col(f"to_{k}") for k in differs]
+        return a.join(b.withColumnRenamed("deal_type", "__deal"), [F.col("deal_type") == F.col("__deal"), *on]).drop("__deal")
+
+    parts = [linked(d, both, ["district"], []), linked(d, d, [], ["district"]), linked(r, both, ["rooms"], []), linked(r, r, [], ["rooms"]),
+             linked(both, both, ["district"], ["rooms"]), linked(both, both, ["rooms"], ["district"])]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def rooms_slug(rooms: Column) -> Column:
     return F.concat(rooms.cast("string"), F.lit("-komnatnye"))
 

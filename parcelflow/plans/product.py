@@ -79,6 +79,12 @@ def active_users(activity: DataFrame, as_of: str) -> DataFrame:
         *[F.count_if(F.col("day") >= F.date_sub(today, days - 1)).alias(name) for days, name in ((1, "dau"), (7, "wau"), (30, "mau"))])
 
 
+def web_users(logins: DataFrame, as_of: str) -> DataFrame:
+    """Distinct users who logged in over the last 7 and 30 days."""
+    per_user = logins.groupBy("user_id").agg(F.max("ts").alias("last"))
+    return per_user.agg(*[F.count_if(F.col("last") >= _now(as_of) - _days(n)).alias(f"web_users_{n}d") for n in (7, 30)])
+
+
 def daily_counts(rows: DataFrame, at: str, as_of: str, days: int = 30) -> DataFrame:
     """Rows per day over the last days, days without rows included, with the maximum."""
     spark = rows.sparkSession

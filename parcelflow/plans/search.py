@@ -117,6 +117,11 @@ def feed_totals(listings: DataFrame, as_of: str, *, deal_type: str = "sale",
     )
 
 
+def feed_districts(listings: DataFrame, *, deal_type: str = "sale") -> DataFrame:
+    """The sorted districts of the feed."""
+    return listings.where(sane_active(deal_type) & (F.col("district") != "")).select("district").distinct().orderBy("district")
+
+
 def feed_by_source(listings: DataFrame, *, deal_type: str = "sale",
                    threshold: float = K.BELOW_MARKET_PERCENT) -> DataFrame:
     """Rows and hot rows per source."""

@@ -8,6 +8,7 @@ from parcelflow.plans import complexes, hubs, search, sellers, state, yields
 from parcelflow.plans.history import price_verdict
 from parcelflow.queries.proxy import AS_OF, listings, table, with_listings
 from parcelflow.queries.registry import MED, R, query
+from parcelflow.sources.storage import materialise
 
 _CARD = ["id", "source", "district", "rooms", "area_m2", "discount_percent"]
 _CARD_SQL = f"id, source, district, rooms, area_m2, {R('discount_percent')} AS discount_percent"
@@ -334,3 +335,32 @@ def price_verdicts(spark, sf_dir):
     med = grouped_median(rows, ["complex"], "price_per_m2_usd", name="med")
     diff = (F.col("price_per_m2_usd") / F.col("med") - 1) * 100
     return rows.join(med, "complex").groupBy(price_verdict(diff).alias("verdict")).agg(F.count(F.lit(1)).alias("listings"))
+
+
+@query("feed_districts", with_listings("SELECT DISTINCT district FROM sane WHERE deal_type = 'sale' AND district <> ''"))
+def feed_districts(spark, sf_dir):
+    return search.feed_districts(listings(spark, sf_dir))
+
+
+@query("related_links", with_listings(_HUBS + """ SELECT a.deal_type, a.level, a.district, a.rooms, b.level AS to_level, b.district AS to_district,
+    b.rooms AS to_rooms FROM hubs a JOIN hubs b ON a.deal_type = b.deal_type AND (
+      (a.level = 'district' AND ((b.level = 'district_rooms' AND a.district = b.district) OR (b.level = 'district' AND a.district <> b.district)))
+      OR (a.level = 'rooms' AND ((b.level = 'district_rooms' AND a.rooms = b.rooms) OR (b.level = 'rooms' AND a.rooms <> b.rooms)))
+      OR (a.level = 'district_rooms' AND b.level = 'district_rooms' AND ((a.district = b.district AND a.rooms <> b.rooms)
+        OR (a.rooms = b.rooms AND a.district <> b.district))))"""))
+def related_links(spark, sf_dir):
+    """D14."""
+    return hubs.related_links(hubs.hub_slices(listings(spark, sf_dir)))
+
+
+@query("complex_sorts", with_listings(f""", c AS (SELECT complex, count(*) AS count, {R(MED('price_usd'), 2)} AS price, {R(MED('price_per_m2_usd'), 2)} AS ppm
+    FROM sane WHERE deal_type = 'sale' GROUP BY complex HAVING count(*) >= 5),
+  s AS (SELECT 'count' AS sort, complex, row_number() OVER (ORDER BY count DESC, complex) AS n FROM c
+    UNION ALL SELECT 'median_ppm', complex, row_number() OVER (ORDER BY ppm, complex) FROM c
+    UNION ALL SELECT 'median_price', complex, row_number() OVER (ORDER BY price, complex) FROM c)
+  SELECT sort, complex FROM s WHERE n <= 8"""))
+def complex_sorts(spark, sf_dir):
+    """The first complexes of each order."""
+    stats = materialise(complexes.complex_stats(listings(spark, sf_dir)), "complex-stats")
+    parts = [stats.orderBy(*complexes.complex_order(s)).limit(8).select(F.lit(s).alias("sort"), "complex") for s in ("count", "median_ppm", "median_price")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

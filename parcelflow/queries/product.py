@@ -173,3 +173,19 @@ def traffic_summary(spark, sf_dir):
 @query("traffic_sources", "SELECT event_type AS source, count(*) AS visits FROM events GROUP BY 1 ORDER BY visits DESC, source LIMIT 6")
 def traffic_sources(spark, sf_dir):
     return product.top_sources(table(spark, sf_dir, "events").withColumnRenamed("event_type", "source"))
+
+
+@query("web_users", f"""SELECT count(DISTINCT user_id) FILTER (ts >= TIMESTAMP '{_NOW}' - INTERVAL 7 DAY) AS web_users_7d,
+  count(DISTINCT user_id) FILTER (ts >= TIMESTAMP '{_NOW}' - INTERVAL 30 DAY) AS web_users_30d FROM events WHERE event_type = 'signup'""")
+def web_users(spark, sf_dir):
+    """Sign-up events stand for logins."""
+    return product.web_users(table(spark, sf_dir, "events").where("event_type = 'signup'"), _NOW)
+
+
+@query("admins", "SELECT c_custkey AS user_id FROM customer WHERE c_custkey % 7 = 0 AND c_acctbal > 0 AND c_nationkey <> 3")
+def admins(spark, sf_dir):
+    """A seventh of the customers administrate; debtors are inactive, one nation cannot be written to."""
+    users = table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS user_id", "IF(c_custkey % 7 = 0, 'admin', 'user') AS role", "c_acctbal > 0 AS is_active",
+        "IF(c_nationkey <> 3, c_custkey, NULL) AS telegram_id")
+    return product.admins(users).select("user_id")
