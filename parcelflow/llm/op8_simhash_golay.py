@@ -34,6 +34,7 @@ from parcelflow.sources.storage import materialise
 SHINGLE = 3
 SEED = 42
 MOST_BITS = 2
+_NO_ID = -(1 << 63)
 #: (lowest bit, number of bits) of the segments
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 _SLICE_BYTES = 4 << 20
@@ -213,12 +214,13 @@ def one_of_each(documents: DataFrame, *, size: int = SHINGLE) -> DataFrame:
 
     Rows that share a doc_id (or have none) and a fingerprint collapse to the one with the smallest text hash.
     """
-    marked = documents.withColumn("__text_key", F.xxhash64("text"))
-    found = simhash_components(marked, carry=["doc_id", "__text_key"], size=size)
+    # keys without nulls: the join's partitioning then serves the last step as well, and texts move once
+    row = ["__text_key", "__id"]
+    marked = documents.withColumns({"__text_key": F.xxhash64("text"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))})
+    found = simhash_components(marked, carry=["doc_id", *row], size=size)
     keep = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy(F.col("doc_id").alias("__id"), "fingerprint").agg(F.min("__text_key").alias("__key")))
-    hit = (F.col("__text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return marked.join(keep, hit, "left_semi").dropDuplicates(["doc_id", "__text_key"]).select(*documents.columns)
+            .groupBy("__id", "fingerprint").agg(F.min("__text_key").alias("__text_key")))
+    return marked.join(keep, row, "left_semi").dropDuplicates(row).select(*documents.columns)
 
 
 @query("op8_simhash_golay")
