@@ -14,8 +14,8 @@ Two windows are equal when both 64-bit hashes agree (one carried, one through th
 
 Nulls and odd rows: a null text has no words; a null doc_id sorts before all others and stays null;
 rows with the same doc_id are judged one by one at the place (doc_id, start), so identical rows get
-the same result and do not remove each other's first place.  Columns other than doc_id and text are
-carried through untouched; a clash with an output name is an error.
+the same result and do not remove each other's first place.  Other columns are carried through untouched;
+an input column with the name of an output gives way to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import NOT_SPACE, Powers, Words, byte_powers, mix, slices, spark_xxhash64, text_buffers, window_hashes
 
@@ -272,10 +273,8 @@ def substring_dedup(documents: DataFrame, *, size: int = WINDOW, buckets: int |
     windows are dealt (default: two for each shuffle partition); one bucket must fit in a task's memory.  ``removed_spans`` are word ranges, the first word being 0.
     """
     spark = documents.sparkSession
-    carry = [c for c in documents.columns if c != "text"] if carry is None else carry
     made = ["n_words", "n_removed", "kept_sha256", *outputs]
-    if clash := set(made) & set(carry):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
+    carry = carried(documents, carry, made, drop=("text",))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 2 * parts
     packed = documents.select("doc_id", "text").mapInArrow(_hash_windows(size, buckets, parts), _PACKED)

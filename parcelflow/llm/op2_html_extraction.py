@@ -15,7 +15,7 @@ order by one space.
 
 Nulls and odd rows: null, empty and wordless html has an empty text; unclosed and stray tags, comments, scripts and
 quotes are tolerated; rows are extracted one by one, so repeated and null ids are fine; a table without any
-labelled page uses the prior weights.
+labelled page uses the prior weights; input columns named text or n_chars give way to the output's.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 
 #: Observations that the prior weight of a kind stands for, and the range of weights.
@@ -263,9 +264,7 @@ def learn_weights(pages: DataFrame) -> dict[str, float]:
 
 def extract_text(pages: DataFrame, weights: dict[str, float], *, carry: list[str] | None = None) -> DataFrame:
     """The carried columns (default: all but html), text and n_chars."""
-    carry = [c for c in pages.columns if c != "html"] if carry is None else carry
-    if clash := {"text", "n_chars"} & set(carry):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
+    carry = carried(pages, carry, ["text", "n_chars"], drop=("html",))
     schema = T.StructType([*[pages.schema[c] for c in carry], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):

@@ -12,7 +12,8 @@ The score is the winner's similarity (1 - distance / worst distance) among all s
 
 Nulls and odd rows: null texts and texts without a letter are ``und`` with score 0, as is everything if
 no language could be learned; rows with null lang or null doc_id are not learned from; a null
-doc_id is not held out; rows are judged one by one, so repeated rows get equal results.
+doc_id is not held out; rows are judged one by one, so repeated rows get equal results; input columns named
+lang_pred or score give way to the output's.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import slices
 
@@ -155,9 +157,7 @@ def classify(texts: pa.Array, langs: list[str], known: np.ndarray, ranks: np.nda
 def predict_language(documents: DataFrame, profiles: dict[str, list[int]], *, size: int = PROFILE,
                      carry: list[str] | None = None) -> DataFrame:
     """The carried columns (default: all), lang_pred and score."""
-    carry = documents.columns if carry is None else carry
-    if clash := {"lang_pred", "score"} & set(carry):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
+    carry = carried(documents, carry, ["lang_pred", "score"])
     langs = sorted(profiles)
     known = np.array(sorted({g for p in profiles.values() for g in p}), dtype=np.int64)
     ranks = np.full((len(langs), len(known)), size, dtype=np.int64)

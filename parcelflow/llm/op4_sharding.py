@@ -11,13 +11,14 @@ runs again gives the same rows.
 Records move once.  Only one count a bucket is gathered, to know where each bucket starts.
 
 Nulls and odd rows: a null text has no bytes; null ids are scattered by their other columns; rows that repeat
-entirely share a bucket and each get a slot; groups of equal texts are spread at random; an empty table gives no rows.
+entirely share a bucket and each get a slot; groups of equal texts are spread at random; an empty table gives no rows; input columns named law, shard or slot give way.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 
 SHARDS = 40
@@ -28,8 +29,8 @@ SEED = 20_240_607
 def external_shuffle(records: DataFrame, *, shards: int = SHARDS, key: list[str] | None = None, bucket_rows: int = BUCKET_ROWS,
                      seed: int = SEED) -> DataFrame:
     """The records with law, shard and slot.  ``key`` names the columns that scatter them (default: all)."""
-    if clash := {"law", "shard", "slot", "grown_shard"} & set(records.columns):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
+    columns = carried(records, None, ["law", "shard", "slot"])
+    records = records.select(*columns)
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = records.count()
     buckets = max(parts, -(-total // bucket_rows))
@@ -44,9 +45,9 @@ def external_shuffle(records: DataFrame, *, shards: int = SHARDS, key: list[str]
               .select("__bucket", F.coalesce(before, F.lit(0)).alias("__start")))
     out = mixed.join(starts, "__bucket").select("__start", F.posexplode("__records").alias("__at", "__record"))
     # rank r of n goes to shard ((r + 1) * shards - 1) div n, whose first rank is (shard * n) div shards
-    ranked = out.select("__record.*", (F.col("__start") + F.col("__at")).alias("__rank"))
+    ranked = out.select("__record", (F.col("__start") + F.col("__at")).alias("__rank"))
     dealt = ranked.withColumn("__shard", F.expr(f"((__rank + 1) * {shards} - 1) div {max(total, 1)}"))
-    return dealt.select(*records.columns, F.lit("rows").alias("law"), F.col("__shard").cast("int").alias("shard"),
+    return dealt.select("__record.*", F.lit("rows").alias("law"), F.col("__shard").cast("int").alias("shard"),
                         F.expr(f"__rank - (__shard * {total}) div {shards}").alias("slot"))
 
 

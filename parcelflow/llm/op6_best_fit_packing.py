@@ -11,7 +11,8 @@ length.  Ranks are counted inside salted groups (length, salt), so a length that
 share is ranked in parallel.
 
 Nulls and odd rows: null and empty texts are one piece of the end token alone; rows are packed one by
-one, so repeated rows and null doc_ids each get a place of their own.
+one, so repeated rows and null doc_ids each get a place of their own; an empty table gives no rows; input columns with
+an output's name give way to it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import slices
 from parcelflow.llm.worker import once
@@ -194,10 +196,8 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, salts: int | None = Non
 def best_fit_packing(documents: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, carry: list[str] | None = None,
                      ids: bool = True) -> DataFrame:
     """One row a piece: carried columns (default: all but text), piece, start, length, ids_crc32, ids, sequence_id and offset."""
-    carry = [c for c in documents.columns if c != "text"] if carry is None else carry
-    made = {"piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"}
-    if clash := made & set(carry):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
+    made = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
+    carry = carried(documents, carry, made, drop=("text",))
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     pieces = tokenised_pieces(documents, tokenizer=path, capacity=capacity, carry=carry, ids=ids)
     return pack(materialise(pieces, "pieces"), capacity=capacity)

@@ -15,7 +15,8 @@ that differ in at most two bits are linked, and documents of linked fingerprints
 
 Nulls and odd rows: null and empty texts have fingerprint zero and are linked like any other; a null
 doc_id stays null and takes no part in the smallest doc_id; repeated rows stay, in one component; a
-component of null doc_ids only has a null component_id.
+component of null doc_ids only has a null component_id; an empty table gives no rows; input columns named fp, fingerprint
+or component_id give way.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from parcelflow.llm.carry import carried
 from parcelflow.llm.components import connected_components
 from parcelflow.llm.golay import nearby_indices
 from parcelflow.llm.registry import query, table
@@ -195,9 +197,7 @@ def fingerprint_edges(distinct: DataFrame) -> DataFrame:
 
 def simhash_components(documents: DataFrame, *, carry: list[str] | None = None, size: int = SHINGLE) -> DataFrame:
     """The carried columns (default: all but text), fingerprint and component_id of every row."""
-    carry = [c for c in documents.columns if c != "text"] if carry is None else carry
-    if clash := {"fp", "fingerprint", "component_id"} & set(carry):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
+    carry = carried(documents, carry, ["fp", "fingerprint", "component_id"], drop=("text",))
     rows = materialise(with_fingerprints(documents, list(dict.fromkeys([*carry, "doc_id"])), size), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     labels = connected_components(fingerprint_edges(distinct))
@@ -214,13 +214,14 @@ def one_of_each(documents: DataFrame, *, size: int = SHINGLE) -> DataFrame:
 
     Rows that share a doc_id (or have none) and a fingerprint collapse to the one with the smallest text hash.
     """
+    plain = documents.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(documents.columns)])
     # keys without nulls: the join's partitioning then serves the last step as well, and texts move once
     row = ["__text_key", "__id"]
-    marked = documents.withColumns({"__text_key": F.xxhash64("text"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))})
+    marked = plain.withColumns({"__text_key": F.xxhash64("text"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))})
     found = simhash_components(marked, carry=["doc_id", *row], size=size)
     keep = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
             .groupBy("__id", "fingerprint").agg(F.min("__text_key").alias("__text_key")))
-    return marked.join(keep, row, "left_semi").dropDuplicates(row).select(*documents.columns)
+    return marked.join(keep, row, "left_semi").dropDuplicates(row).select(*plain.columns).toDF(*documents.columns)
 
 
 @query("op8_simhash_golay")

@@ -14,7 +14,8 @@ hashes.  A window is ``window`` consecutive words of an item; a shorter item is
 
 Nulls and odd rows: null and empty texts have no words; an item without words has no window; a null
 item_id marks words but is not listed; items that share an id count once; documents are judged
-row by row, so repeated doc_ids and nulls are fine.
+row by row, so repeated doc_ids and nulls are fine; input columns with an output's name give way to it; an empty
+table gives no rows, an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import LOWER, WORD_BYTES, Words, byte_powers, mix, slices, text_buffers
 
@@ -205,10 +207,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = W
                   matches: bool = True) -> DataFrame:
     """The carried columns (default: all), n_words, n_hit, item_ids, contaminated and, with ``matches``,
     the longest verbatim matches as (item_id, item_start, start, length) in words from 0."""
-    carry = documents.columns if carry is None else carry
     made = ["n_words", "hit_spans", "item_ids", *(["matches"] if matches else [])]
-    if clash := {*made, "n_hit", "contaminated"} & set(carry):
-        raise ValueError(f"columns {sorted(clash)} are made here; rename or drop them first")
+    carry = carried(documents, carry, [*made, "n_hit", "contaminated"])
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     kinds = {"n_words": T.LongType(), "hit_spans": spans, "item_ids": T.ArrayType(T.LongType()), "matches": MATCHES}
     out = documents

@@ -50,5 +50,7 @@ def test_stage_keeps_columns_and_untouched_texts(spark):
 
 def test_empty_table_and_clash(spark):
     assert substring_dedup(spark.createDataFrame([], DOCUMENTS)).count() == 0
-    with pytest.raises(ValueError, match="n_removed"):
-        substring_dedup(spark.createDataFrame([], DOCUMENTS + ", n_removed int"))
+    rows = odd_documents()
+    got = substring_dedup(spark.createDataFrame([(*r, "x", -1) for r in rows], DOCUMENTS + ", Kept_Text string, n_removed int"))
+    assert ordered(got.select("doc_id", "n_removed").collect()) == ordered((d, n) for d, _, n, _ in repeats(rows))
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans"]

@@ -80,5 +80,5 @@ def test_odd_rows(spark):
     assert long_ in [r["text"] for r in got]
     empty = spark.createDataFrame([], PAGES)
     assert learn_weights(empty) == {} and extract_text(empty, {}).count() == 0
-    with pytest.raises(ValueError, match="n_chars"):
-        extract_text(spark.createDataFrame([], PAGES + ", n_chars int"), {})
+    clash = extract_text(spark.createDataFrame([(1, "u", "<p>a b c</p>", -1)], PAGES + ", n_chars int"), {})
+    assert [tuple(r) for r in clash.collect()] == [(1, "u", "a b c", 5)]

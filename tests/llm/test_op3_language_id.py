@@ -1,5 +1,4 @@
 import pyarrow as pa
-import pytest
 from plain import DOCUMENTS, odd_documents
 from pyspark.sql import functions as F
 
@@ -54,5 +53,4 @@ def test_stage_and_odd_tables(spark):
     assert keep_languages(docs.limit(0)).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in predict_language(unlabelled.drop("score"), learn_profiles(unlabelled)).collect()} == {"und"}
-    with pytest.raises(ValueError, match="score"):
-        predict_language(docs, {})
+    assert {r["score"] for r in predict_language(docs, {}).collect()} == {0.0}

@@ -87,5 +87,5 @@ def test_hot_length_and_empty(spark):
     got = pack(pieces, capacity=20, salts=7).collect()
     assert len({(r["sequence_id"], r["offset"]) for r in got}) == 5000 and len({r["sequence_id"] for r in got}) == -(-(1667 * 5 + 3333 * 10) // 20)
     assert best_fit_packing(spark.createDataFrame([], DOCUMENTS)).count() == 0
-    with pytest.raises(ValueError, match="piece"):
-        best_fit_packing(spark.createDataFrame([], DOCUMENTS + ", piece int"))
+    clash = best_fit_packing(spark.createDataFrame([(1, "a b", "en", "s", 3, -1)], DOCUMENTS + ", piece int")).collect()
+    assert [(r["doc_id"], r["lang"], r["piece"], r["length"]) for r in clash] == [(1, "en", 0, 3)]

@@ -86,13 +86,13 @@ def test_rows_equal_definition(spark):
     got = simhash_components(spark.createDataFrame(rows, DOCUMENTS), carry=["doc_id"])
     assert ordered(got.collect()) == ordered(_want(rows))
     assert simhash_components(spark.createDataFrame([], DOCUMENTS)).count() == 0
-    with pytest.raises(ValueError, match="component_id"):
-        simhash_components(spark.createDataFrame([], DOCUMENTS + ", component_id int"))
+    clash = simhash_components(spark.createDataFrame([(*r, -1) for r in rows], DOCUMENTS + ", component_id int"))
+    assert ordered(clash.select("doc_id", "fingerprint", "component_id").collect()) == ordered(_want(rows))
 
 
 def test_one_of_each(spark):
     rows = odd_documents()
-    docs = spark.createDataFrame(rows, DOCUMENTS)
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], DOCUMENTS + ", fp int, __text_key int")
     got = one_of_each(docs)
     assert got.schema.names == docs.schema.names
     want = _want(rows)

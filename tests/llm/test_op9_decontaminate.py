@@ -49,3 +49,4 @@ def test_stage_and_odd_tables(spark):
     assert ordered(got.collect()) == ordered(clean)
     assert clean_documents(docs, items.limit(0)).count() == len(rows)
     assert clean_documents(docs.limit(0), items).count() == 0
+    assert decontaminate(docs, items, matches=False).filter("n_hit = 1").count() == sum(n == 1 for _, _, n, _ in contamination(rows, _items(rows)))
