@@ -16,12 +16,13 @@ task holds one conversation at a time, whatever the number of turns of the other
 
 Nulls and odd rows: null text and null role are empty; rows with a null conv_id form one conversation; a null
 turn comes first; equal turns are ordered by role, then text, and all of them stay; an empty
-table gives no rows.
+table gives no rows; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,7 @@ def _formatted(path: str, loss_role: str, batch_chars: int):
         texts = [render(turns, loss_role) for _, turns in held]
         out = []
         for (conv, turns), (text, spans), enc in zip(held, texts, tok.encode_batch([t for t, _ in texts], add_special_tokens=False), strict=True):
-            starts, ends = np.array(enc.offsets, dtype=np.int64).reshape(-1, 2).T
+            starts, ends = np.fromiter(chain.from_iterable(enc.offsets), dtype=np.int32, count=2 * len(enc)).reshape(-1, 2).T
             out.append({"conv_id": conv, "n_turns": len(turns), "formatted": text, "input_ids": enc.ids, "token_starts": starts,
                         "token_ends": ends, "loss_mask": loss_mask(starts, ends, spans)})
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
@@ -144,23 +145,29 @@ def format_conversations(conversations: DataFrame, *, tokenizer_path: str | None
             .select("conv_id", "role", "text").mapInArrow(_formatted(path, loss_role, batch_chars), _SCHEMA))
 
 
+def _under(starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> tuple[list[int], list[int]]:
+    """The stretches of characters that the masked tokens cover."""
+    s, e = starts[mask], ends[mask]
+    if not len(s):
+        return [], []
+    # several tokens may share the bytes of one character
+    new = np.concatenate(([True], s[1:] > np.maximum.accumulate(e)[:-1]))
+    head = np.flatnonzero(new)
+    return s[head].tolist(), np.maximum.reduceat(e, head).tolist()
+
+
 def _digests(batches):
     """What a reader finds in the formatted output."""
     for batch in batches:
+        lists = [batch.column(c) for c in ("token_starts", "token_ends", "loss_mask")]
+        bounds = lists[0].offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        starts, ends, mask = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
         out = []
-        for conv, formatted, starts, ends, mask in zip(
-                *(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "token_starts", "token_ends", "loss_mask")), strict=True):
+        for i, (conv, formatted) in enumerate(zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), strict=True)):
             turns = read_turns(formatted)
-            under, to = [], 0
-            for s, e, m in zip(starts, ends, mask, strict=True):
-                if not m:
-                    continue
-                if s > to or not under:
-                    under.append([s, e])
-                else:  # tokens that touch, or share a character's bytes
-                    under[-1][1] = max(e, to)
-                to = max(to, e)
-            loss = "".join(unescape(formatted[s:e]) for s, e in under)
+            part = slice(bounds[i], bounds[i + 1])
+            loss = "".join(unescape(formatted[s:e]) for s, e in zip(*_under(starts[part], ends[part], mask[part]), strict=True))
             out.append((conv, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
                         len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
