@@ -7,11 +7,12 @@ at most two bits have a key in common; ``tests/llm`` proves it by enumeration.
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
 
 import numpy as np
 
+from parcelflow.llm.worker import once
+
 #: Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 BITS, CHECK_BITS = 23, 11
@@ -25,7 +26,6 @@ def _remainder(word: int) -> int:
     return word
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Remainders by byte of the word, and for each remainder the error patterns (-1 where there are fewer)."""
     by_byte = np.array([[_remainder(v << 8 * k & (1 << BITS) - 1) for v in range(256)] for k in range(3)], dtype=np.int64)
@@ -44,7 +44,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 def nearby_indices(words: np.ndarray) -> np.ndarray:
     """For each word, the 12-bit indices of its nearby codewords: one row of six, -1 where there are fewer."""
-    by_byte, patterns = _tables()
+    by_byte, patterns = once(("golay",), _tables)
     rest = by_byte[0][words & 255] ^ by_byte[1][words >> 8 & 255] ^ by_byte[2][words >> 16]
     near = patterns[rest]
     return np.where(near < 0, -1, (words[:, None] ^ near) >> CHECK_BITS)

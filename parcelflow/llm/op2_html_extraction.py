@@ -66,6 +66,8 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _ENDS_P = BLOCKS - {"br", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "body", "html", "head"}
 _ITEM_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 
+_ITEM_PEERS = {"dt": ("dd",), "dd": ("dt",), "td": ("th",), "th": ("td",)}
+
 
 def _name_is_left_out(name: str) -> bool:
     parts = [p.lower() for p in _PART.findall(name)]
@@ -126,7 +128,15 @@ def events(page: str) -> list[tuple]:
     """
     found: list[tuple] = []
     stack: list[_Element] = []
+    #: open elements by tag, so that stray tags do not search a deep stack
+    held: Counter = Counter()
     block = 0
+
+    def close(place: int) -> None:
+        for e in stack[place:]:
+            held[e.tag] -= 1
+        del stack[place:]
+
     for token in _TOKEN.finditer(page):
         text = token["text"]
         top = stack[-1] if stack else None
@@ -140,22 +150,22 @@ def events(page: str) -> list[tuple]:
         if name in BLOCKS:
             block += 1
         if token["end"] or token["end2"]:
-            place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name), None)
-            if place is not None:
-                del stack[place:]
+            if held[name] > 0:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name))
                 top = stack[-1] if stack else None
             found.append(("tag", name, top.main if top else "", top.out if top else False, "", block))
             continue
-        if name in _ENDS_P and any(e.tag == "p" for e in stack):
-            place = max(i for i, e in enumerate(stack) if e.tag == "p")
-            if all(e.tag not in BLOCKS for e in stack[place + 1:]):
-                del stack[place:]
-        elif name in _ITEM_SCOPE:
+        if name in _ENDS_P and held["p"] > 0:
+            # a paragraph ends unless another block has been opened inside of it
+            place = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in BLOCKS)
+            if stack[place].tag == "p":
+                close(place)
+        elif name in _ITEM_SCOPE and any(held[x] > 0 for x in (name, *_ITEM_PEERS.get(name, ()))):
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].tag in _ITEM_SCOPE[name]:
                     break
-                if stack[i].tag == name or {stack[i].tag, name} == {"dt", "dd"} or {stack[i].tag, name} == {"td", "th"}:
-                    del stack[i:]
+                if stack[i].tag == name or stack[i].tag in _ITEM_PEERS.get(name, ()):
+                    close(i)
                     break
         top = stack[-1] if stack else None
         element = _open(name, token["rest"] or token["rest2"] or "", top)
@@ -163,6 +173,7 @@ def events(page: str) -> list[tuple]:
         rest = token["rest"] or token["rest2"] or ""
         if name not in VOID and not (rest.endswith("/") and name not in BLOCKS) and (name in BLOCKS or name == "a" or element.out != (top.out if top else False)):
             stack.append(element)
+            held[name] += 1
     # an article speaks for its page before a main element around it
     marks = {e[2] for e in found if e[0] == "text" and not e[3]}
     mark = "article" if "article" in marks else "main" if "main" in marks else ""

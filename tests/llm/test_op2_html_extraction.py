@@ -70,6 +70,16 @@ def test_all_pages(spark, sf):
         assert r["text"] == " ".join(html.unescape(inside.replace("<b>", "").replace("</b>", "")).split())
 
 
+def test_deep_pages_take_linear_time():
+    for page in ("<div>" * 200_000 + "word", "<div><p>" * 50_000 + "word" + "</span></b>" * 50_000, "<li>word" * 50_000, "<td>" * 100_000 + "</tr>" * 100_000):
+        assert set(main_text(page, {}).split()) <= {"word"}
+
+
+def test_items_end_where_the_next_begins():
+    page = f"<article><ul><li><p>{STORY}<li>two<ul><li>three</ul><li>four</ul><table><tr><td>a<td>b<tr><th>c</table></article>"
+    assert main_text(page, {}) == f"{STORY} two three four a b c"
+
+
 def test_odd_rows(spark):
     long_ = prose(random.Random(1), 30_000)
     rows = [(1, "u", None), (2, None, ""), (None, "u", "no tags at all"), (4, "u", "<" * 3000), (5, "u", f"<article><p>{long_}"), (5, "u", "<p"),

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -51,6 +54,19 @@ def test_stages_keep_the_columns(spark, tmp_path):
         docs = out
 
 
+def test_workers_need_no_copy_of_the_package(sf):
+    repo = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    code = f"""import sys; sys.path.insert(0, {repo!r})
+from parcelflow.session import local_session
+spark = local_session(2)
+from parcelflow.llm.queries import QUERIES
+print("ROWS", [QUERIES[n](spark, {sf!r}).count() for n in ("op1_substring_dedup", "op2_html_extraction", "op7_quality_ranking", "op8_simhash_golay")])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("PYSPARK")}
+    done = subprocess.run([sys.executable, "-c", code], cwd="/", env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS [200, 50, 200, 200]" in done.stdout, done.stderr[-2000:]
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE) < set(QUERIES)
