@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 from parcelflow.functions import vocabulary as V
 from parcelflow.functions.text import collapse, let
 
+# Letters of words, codes that name nothing, and the words that announce a complex.
 _SPLIT = "[^0-9A-Za-zА-Яа-яЁёЎўҚқҒғҲҳ]+"
 _NOISE = "^(?:" + "|".join(V.COMPLEX_NOISE) + r"|\d+|.|u\d?k\d?|id\d*|[abr]\d+)$"
 _DISTRICT = "^(?:" + "|".join(V.DISTRICT_TOKENS) + ")$|(?:" + "|".join(V.DISTRICT_ENDINGS) + ")$"

@@ -87,11 +87,17 @@ def instant(text: Column) -> Column:
     return bare.try_cast("timestamp_ntz")
 
 
+# How adverts deny and mention furniture, and how API titles write rooms and area.
+UNFURNISHED = r"(?iuU)без\s+мебел|не\s*-?\s*меблир"
+FURNISHED = r"(?iuU)меблир|с\s+мебел|вся\s+мебел|есть\s+мебел|мебел\w*\s+есть"
+ROOMS_IN_TITLE = [r"(?iu)(\d+)\s*[- ]?комн", r"(?iu)\b([1-8])\s*xon"]
+AREA_IN_TITLE = r"(?iu)(\d+(?:[.,]\d+)?)\s*(?:м2|м²|m²|m2)"
+
+
 def furnished(text: Column) -> Column:
     """A denial wins over a mention; silence is unknown."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(t.rlike(r"(?iuU)без\s+мебел|не\s*-?\s*меблир"), False).when(
-        t.rlike(r"(?iuU)меблир|с\s+мебел|вся\s+мебел|есть\s+мебел|мебел\w*\s+есть"), True)
+    return F.when(t.rlike(UNFURNISHED), False).when(t.rlike(FURNISHED), True)
 
 
 def yes_no(text: Column) -> Column:
@@ -108,13 +114,12 @@ def rooms_code(text: Column) -> Column:
 
 
 def rooms_in_title(title: Column) -> Column:
-    n = F.coalesce(F.regexp_extract(title, r"(?iu)(\d+)\s*[- ]?комн", 1).try_cast("int"),
-                   F.regexp_extract(title, r"(?iu)\b([1-8])\s*xon", 1).try_cast("int"))
+    n = F.coalesce(*[F.regexp_extract(title, p, 1).try_cast("int") for p in ROOMS_IN_TITLE])
     return F.when(n.between(1, 8), n)
 
 
 def area_in_title(title: Column) -> Column:
-    n = F.replace(F.regexp_extract(title, r"(?iu)(\d+(?:[.,]\d+)?)\s*(?:м2|м²|m²|m2)", 1), F.lit(","), F.lit(".")).try_cast("double")
+    n = F.replace(F.regexp_extract(title, AREA_IN_TITLE, 1), F.lit(","), F.lit(".")).try_cast("double")
     return F.when(n.between(10, 500), n)
 
 

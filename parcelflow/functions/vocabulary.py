@@ -69,18 +69,21 @@ TRANSLIT_MULTI = {"ж": "zh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "sch", "
 SLUG_LETTERS = {"ц": "c"}
 SLUG_UNKNOWN = ["ў", "қ", "ғ", "ҳ"]
 
-COMPLEX_NOISE = (
-    "zhk zhiloy kompleks residential complex id adres srochno srochnaya srochnuyu gorod goroda menyaetsya vash "
-    "uvazhaemye gosti kvartira kvartiry kvartir kvartiru arenda arendu arenduyu arendoy prodam prodayu prodazha "
-    "prodaetsya sdaetsya sdam sdayu evro evroremont evrolyuks remont remontom novaya novyy novoe novostroyka vid "
-    "vidom korobka penthaus studiya studiyu komnata komnat komnaty komnatu ploshchad etazh dom doma ulitsa ul "
-    "prospekt massiv kvartal mkr mfy orientir ryadom vozle near metro elitnyy elitnaya elitnom shikarnaya idealno "
-    "idealnaya polnostyu dlya vse vsemi eksklyuziv tsentr vpervye predlagaetsya toropites zhivite neboskreb teplaya "
-    "chistaya avtorskiy avtorskim kirpich kirpichnyy dvor gotovye gotovaya predlozhenie unikalnoe unikalnaya "
-    "sovremennyy potryasayushchiy prosto samaya pervaya liniya sostoyanie harakteristiki osnovnye posrednikov bez "
-    "nahoditsya lyuks pod mebel tehnika sistema umnyy dolgosrochnaya posutochnaya apartment for sale rent "
-    "urgent ot na zastroy zastroyshchik blok block bloka korpus korpusa blic"
-).split()
+COMPLEX_NOISE = [
+    "zhk", "zhiloy", "kompleks", "residential", "complex", "id", "adres", "srochno", "srochnaya", "srochnuyu",
+    "gorod", "goroda", "menyaetsya", "vash", "uvazhaemye", "gosti", "kvartira", "kvartiry", "kvartir", "kvartiru",
+    "arenda", "arendu", "arenduyu", "arendoy", "prodam", "prodayu", "prodazha", "prodaetsya", "sdaetsya", "sdam",
+    "sdayu", "evro", "evroremont", "evrolyuks", "remont", "remontom", "novaya", "novyy", "novoe", "novostroyka",
+    "vid", "vidom", "korobka", "penthaus", "studiya", "studiyu", "komnata", "komnat", "komnaty", "komnatu",
+    "ploshchad", "etazh", "dom", "doma", "ulitsa", "ul", "prospekt", "massiv", "kvartal", "mkr", "mfy", "orientir",
+    "ryadom", "vozle", "near", "metro", "elitnyy", "elitnaya", "elitnom", "shikarnaya", "idealno", "idealnaya",
+    "polnostyu", "dlya", "vse", "vsemi", "eksklyuziv", "tsentr", "vpervye", "predlagaetsya", "toropites", "zhivite",
+    "neboskreb", "teplaya", "chistaya", "avtorskiy", "avtorskim", "kirpich", "kirpichnyy", "dvor", "gotovye",
+    "gotovaya", "predlozhenie", "unikalnoe", "unikalnaya", "sovremennyy", "potryasayushchiy", "prosto", "samaya",
+    "pervaya", "liniya", "sostoyanie", "harakteristiki", "osnovnye", "posrednikov", "bez", "nahoditsya", "lyuks",
+    "pod", "mebel", "tehnika", "sistema", "umnyy", "dolgosrochnaya", "posutochnaya", "apartment", "for", "sale",
+    "rent", "urgent", "ot", "na", "zastroy", "zastroyshchik", "blok", "block", "bloka", "korpus", "korpusa", "blic",
+]
 
 DISTRICT_TOKENS = ["rayon", "rn", "mahalla"]
 DISTRICT_ENDINGS = ["skiy", "skoy", "skij", "skaya"]
