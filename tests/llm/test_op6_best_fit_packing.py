@@ -89,3 +89,11 @@ def test_hot_length_and_empty(spark):
     assert best_fit_packing(spark.createDataFrame([], DOCUMENTS)).count() == 0
     clash = best_fit_packing(spark.createDataFrame([(1, "a b", "en", "s", 3, -1)], DOCUMENTS + ", piece int")).collect()
     assert [(r["doc_id"], r["lang"], r["piece"], r["length"]) for r in clash] == [(1, "en", 0, 3)]
+
+
+def test_added_tokens_are_single_ids(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext", "don't<|endoftext|>'t stop <|endoftext|", "É  <|endoftext|>  日本"]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert got and 50256 in {x for r in got for x in r["ids"]}
