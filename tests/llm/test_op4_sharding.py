@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from plain import DOCUMENTS, odd_documents, ordered
 
+from parcelflow.llm import op4_sharding
 from parcelflow.llm.op4_sharding import external_shuffle, write_shards
 from parcelflow.llm.queries import QUERIES
 
@@ -52,3 +53,20 @@ def test_files_and_odd_tables(spark, tmp_path):
     assert external_shuffle(docs.limit(0)).count() == 0
     clash = external_shuffle(docs.selectExpr("*", "-1 AS Slot", "1 AS __bucket"))
     assert clash.columns == [*docs.columns, "__bucket", "law", "shard", "slot"] and clash.filter("slot < 0").count() == 0
+
+
+def test_whole_records_are_written_and_copies_share_no_bucket(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(op4_sharding, "write_shards", lambda sharded, path: (written.append((sharded, path)), write_shards(sharded, path)))
+    got = QUERIES["op4_sharding"](spark, sf)
+    (sharded, path), docs = written[0], spark.read.parquet(f"{sf}/documents.parquet")
+    back = spark.read.parquet(path)
+    assert ordered(back.select(*docs.columns).collect()) == ordered(docs.collect())
+    assert ordered(back.select("doc_id", "shard", "slot").collect()) == ordered(got.select("doc_id", "shard", "slot").collect())
+    # the plan orders rows; it never gathers a bucket in one row
+    assert "collect_list" not in sharded._jdf.queryExecution().toString()
+    same = spark.range(4000).selectExpr("1 AS doc_id", "'x' AS text")
+    other = spark.range(400).selectExpr("id + 2 AS doc_id", "'y' AS text")
+    rows = external_shuffle(same.unionByName(other), shards=10, bucket_rows=100).collect()
+    assert len({(r["shard"], r["slot"]) for r in rows}) == 4400
+    assert all(20 <= n <= 60 for n in Counter(r["shard"] for r in rows if r["doc_id"] > 1).values())
