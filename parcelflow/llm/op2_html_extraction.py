@@ -60,6 +60,7 @@ _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{"|".join(RAW.split())})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)
     |<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>"']++|"[^"]{{0,4000}}+"|'[^']{{0,4000}}+')*+)>
     |<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/<>]*)(?P<rest2>[^<>]*)>|(?P<text>[^<]+|<)""", re.DOTALL | re.IGNORECASE | re.VERBOSE)
+_TAG_START, _UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)"), re.compile(r"""[^<>"']*""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: An open p ends where one of these begins.
@@ -121,6 +122,46 @@ def _open(tag: str, rest: str, above: _Element | None) -> _Element:
     return _Element(tag, out or own, main, link or tag == "a", header)
 
 
+def _tag_stop(page: str, at: int, failed: set[int]) -> int:
+    """Where the > of a tag stands whose attributes begin at ``at``, or -1.
+
+    ``failed`` holds opening quotes from which no > was reached, so that each is followed once.
+    """
+    seen = []
+    while True:
+        at = _UNQUOTED.match(page, at).end()
+        c = page[at:at + 1]
+        if c == ">":
+            return at
+        if c in ("'", '"') and at not in failed:
+            seen.append(at)
+            close = page.find(c, at + 1)
+            if close >= 0:
+                at = close + 1
+                continue
+        failed.update(seen)
+        return -1
+
+
+def _tokens(page: str):
+    """(text, name, whether it ends an element, rest of the tag); text or name is None.
+
+    The pattern takes quoted values up to 4000 characters; a tag that it does not take whole is followed quote by quote.
+    """
+    at, failed = 0, set()
+    while at < len(page):
+        token = _TOKEN.match(page, at)
+        if token["name2"] or token["text"] == "<":
+            start = _TAG_START.match(page, at)
+            stop = _tag_stop(page, start.end(), failed) if start else -1
+            if stop >= 0:
+                yield None, start[2], start[1], page[start.end():stop]
+                at = stop + 1
+                continue
+        yield token["text"], token["name"] or token["name2"], token["end"] or token["end2"], token["rest"] or token["rest2"] or ""
+        at = token.end()
+
+
 def events(page: str) -> list[tuple]:
     """The page as (kind, name, main, out, words or text, block) events in order.
 
@@ -137,19 +178,17 @@ def events(page: str) -> list[tuple]:
             held[e.tag] -= 1
         del stack[place:]
 
-    for token in _TOKEN.finditer(page):
-        text = token["text"]
+    for text, name, ends, rest in _tokens(page):
         top = stack[-1] if stack else None
         if text is not None:
             found.append(("text", top.link if top else False, top.main if top else "", top.out if top else False, text, block))
             continue
-        name = token["name"] or token["name2"]
         if name is None:
             continue
         name = name.lower()
         if name in BLOCKS:
             block += 1
-        if token["end"] or token["end2"]:
+        if ends:
             if held[name] > 0:
                 close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == name))
                 top = stack[-1] if stack else None
@@ -168,9 +207,8 @@ def events(page: str) -> list[tuple]:
                     close(i)
                     break
         top = stack[-1] if stack else None
-        element = _open(name, token["rest"] or token["rest2"] or "", top)
+        element = _open(name, rest, top)
         found.append(("tag", name, element.main, element.out, "", block))
-        rest = token["rest"] or token["rest2"] or ""
         if name not in VOID and not (rest.endswith("/") and name not in BLOCKS) and (name in BLOCKS or name == "a" or element.out != (top.out if top else False)):
             stack.append(element)
             held[name] += 1

@@ -92,3 +92,14 @@ def test_odd_rows(spark):
     assert learn_weights(empty) == {} and extract_text(empty, {}).count() == 0
     clash = extract_text(spark.createDataFrame([(1, "u", "<p>a b c</p>", -1)], PAGES + ", n_chars int"), {})
     assert [tuple(r) for r in clash.collect()] == [(1, "u", "a b c", 5)]
+
+
+def test_long_attribute_values_end_at_their_quote():
+    for n in (10, 3000, 5000, 100_000):
+        for quote in "'\"":
+            for value in ("k > v " * n, "<b>k</b> " * n):
+                page = f"<article><p data-x={quote}{value}{quote} lang=en>story</p><p>{STORY}</p></article>"
+                assert main_text(page, {}) == f"story {STORY}"
+    # quotes that never end, or end in another tag, take linear time
+    for page in ("<a x=\"" * 100_000, "<a x='" + "<a x=\"" * 100_000, "<a " + "\"<a \"" * 100_000, "<a \"'" * 100_000 + "x" * 10_000, "<p '" + "x" * 5000 + "<p \"" * 50_000):
+        main_text(page, {})
