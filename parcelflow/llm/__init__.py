@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame operators and the queries that apply them.
+"""Training-data operators: thirteen DataFrame operators and the queries that apply them.
 
 Nothing else in the library imports this subpackage.  Functions that run in Python workers are
 pickled by value, so a cluster needs no copy of the package on its executors.

@@ -11,5 +11,8 @@ from parcelflow.llm import (  # noqa: F401
     op8_simhash_golay,
     op9_decontaminate,
     op10_topk_search,
+    op11_tokenizer_alignment,
+    op12_compression_bands,
+    op13_spelling_variants,
 )
 from parcelflow.llm.registry import ORACLE, QUERIES  # noqa: F401
