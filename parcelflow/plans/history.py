@@ -22,24 +22,34 @@ def gap_days(earlier: Column, later: Column) -> Column:
     return F.floor(F.timestamp_diff("SECOND", earlier, later) / 86400).cast("int")
 
 
-def listing_events(linked: DataFrame, *, relist_days: int = K.RELIST_GAP_DAYS, drop: float = K.PRICE_DROP_MIN) -> DataFrame:
-    """first_seen, relisted and price_changed events; one sighting may raise two."""
-    gap = gap_days(F.col("prev.seen_at"), F.col("seen_at"))
-    none_d, none_s = F.lit(None).cast("double"), F.lit(None).cast("string")
+def event(kind: str, old_price, new_price, old_status, new_status, days) -> Column:
+    return F.struct(F.lit(kind).alias("event_type"), old_price.alias("old_price_usd"), new_price.alias("new_price_usd"),
+                    old_status.alias("old_status"), new_status.alias("new_status"), days.alias("gap_days"))
 
-    def event(kind, old_price, new_price, old_status, new_status, days):
-        return F.struct(F.lit(kind).alias("event_type"), old_price.alias("old_price_usd"), new_price.alias("new_price_usd"),
-                        old_status.alias("old_status"), new_status.alias("new_status"), days.alias("gap_days"))
 
+def raised_events(*, relist_days: int = K.RELIST_GAP_DAYS, drop: float = K.PRICE_DROP_MIN, was_removed: Column | None = None) -> Column:
+    """the events that a sighting raises against ``prev``; a listing that was removed is back whatever the gap."""
+    gap = gap_days(F.col("prev.seen_at"), F.col("seen_at"))
+    removed = F.lit(False) if was_removed is None else F.coalesce(was_removed, F.lit(False))
+    none_d, none_s, none_i = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("int")
     price, active = F.col("price_usd"), F.lit("active")
-    none_i = F.lit(None).cast("int")
-    raised = F.array(
+    return F.array_compact(F.array(
         F.when(F.col("prev").isNull(), event("first_seen", none_d, price, none_s, active, none_i)),
-        F.when(gap >= relist_days, event("relisted", none_d, none_d, active, active, gap)),
+        F.when((gap >= relist_days) | removed, event("relisted", none_d, none_d, F.when(removed, "removed").otherwise("active"), active, gap)),
         F.when(price_drop(F.col("prev.price_usd"), price, drop),
                event("price_changed", F.col("prev.price_usd"), price, none_s, none_s, none_i)),
-    )
-    return linked.select("listing_key", F.col("seen_at").alias("at"), F.explode(F.array_compact(raised)).alias("e")).select(
+    ))
+
+
+def unseen_event(price: Column) -> Column:
+    """K3: the event of a listing that is no longer seen."""
+    return event("delisted", price, F.lit(None).cast("double"), F.lit("active"), F.lit("removed"), F.lit(None).cast("int"))
+
+
+def listing_events(linked: DataFrame, *, relist_days: int = K.RELIST_GAP_DAYS, drop: float = K.PRICE_DROP_MIN) -> DataFrame:
+    """first_seen, relisted and price_changed events; one sighting may raise two."""
+    raised = raised_events(relist_days=relist_days, drop=drop)
+    return linked.select("listing_key", F.col("seen_at").alias("at"), F.explode(raised).alias("e")).select(
         "listing_key", "e.*", "at").select(*EVENT_COLUMNS)
 
 

@@ -158,6 +158,9 @@ def _settled_snapshot(stored: DataFrame, routed: DataFrame, now: Column, preserv
             out[c] = F.when(touched, F.lit("active")).otherwise(old)
         elif c not in batch.columns:
             out[c] = old
+        elif c == "duplicate_group_key":
+            # set when the listing is created, so that a later repost at the first price still finds it
+            out[c] = F.when(F.col("old").isNotNull(), old).otherwise(F.col(f"main.{c}"))
         else:
             main, cheap = F.col(f"main.{c}"), F.col(f"cheap.{c}")
             if c in KEEP_WHEN_UNKNOWN:

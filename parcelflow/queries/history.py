@@ -189,19 +189,25 @@ def probe_sweep(spark, sf_dir):
 # One scene per customer, in a district of its own; the scene's number says which branch of the upsert it is for:
 # 0 known and cheaper, 1 known and back after removal, 2 a dearer repost with a floor, 3 a cheaper repost, 4 the same flat
 # without fingerprint, 5 another floor of it, 6 a search-page repost of a confirmed price, 7 two new rows of one flat,
-# 8 two new rows without fingerprint in two districts, 9 untouched.
+# 8 two new rows without fingerprint in two districts, 9 untouched.  Coordinates: 0 an exact point meets an approximate one, 2 the other
+# way round, 3 none meets an approximate one, 4 two approximate ones, 7 a new listing brings one.
 _OLD = "TIMESTAMP_NTZ '1998-12-30 00:00:00'"
 
 
 def _scenes(spark, sf_dir):
     c = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS k", "c_custkey % 10 AS scene", "50000D + c_custkey % 1000 AS p")
-    shared = ["'sale' AS deal_type", "CAST(2 AS BIGINT) AS rooms", "60D AS area_m2", "CAST(NULL AS DOUBLE) AS lat", "CAST(NULL AS DOUBLE) AS lng",
-              "CAST(NULL AS STRING) AS coords_precision", "9 AS total_floors"]
+    shared = ["'sale' AS deal_type", "CAST(2 AS BIGINT) AS rooms", "60D AS area_m2", "9 AS total_floors"]
+
+    def point(value, exact, approx):
+        """Coordinates of the scenes that have some."""
+        return [f"IF(scene IN ({exact}, {approx}), {value}D, NULL) AS {c}" for c in ("lat", "lng")] + [
+            f"CASE WHEN scene IN ({exact}) THEN 'exact' WHEN scene IN ({approx}) THEN 'approx' END AS coords_precision"]
+
     stored = c.where("scene NOT IN (7, 8)").selectExpr(
         "concat('s', k) AS id", "IF(scene = 6, 'offer_page', 'board') AS source", "concat('a', k) AS source_id", "concat('u', k) AS url", "'old' AS title",
         "concat('d', k) AS district", "p AS price_usd", "p AS price", "'USD' AS currency", "p / 60 AS price_per_m2_usd",
         "IF(scene IN (2, 9), NULL, 3) AS floor", "concat('f', k) AS duplicate_group_key", "IF(scene = 1, 'removed', 'active') AS status",
-        f"{_OLD} AS seen_at", *shared)
+        f"{_OLD} AS seen_at", *shared, *point(41, "0", "2, 4"))
     incoming = c.where("scene < 9").selectExpr("k", "scene", "p", "explode(sequence(1, IF(scene IN (7, 8), 2, 1))) AS i").selectExpr(
         "concat('n', k, '-', i) AS id", "IF(scene = 6, 'offer_page', 'board') AS source",
         "IF(scene < 2, concat('a', k), concat('b', k, '-', i)) AS source_id", "concat('v', k, '-', i) AS url", "'new' AS title",
@@ -209,7 +215,7 @@ def _scenes(spark, sf_dir):
         """CASE scene WHEN 0 THEN p * 0.95D WHEN 2 THEN p * 1.01D WHEN 3 THEN p * 0.97D WHEN 4 THEN p * 0.98D WHEN 6 THEN p * 0.9D WHEN 7 THEN p * (1 + i / 100D)
           ELSE p END AS price_usd""", "IF(scene = 6, 'UZS', 'USD') AS currency", "CASE scene WHEN 5 THEN 4 WHEN 8 THEN NULL ELSE 3 END AS floor",
         "CASE WHEN scene IN (2, 3, 6) THEN concat('f', k) WHEN scene <> 8 THEN concat('g', k, '-', i) END AS duplicate_group_key",
-        f"{_OLD} AS published_at", *shared).selectExpr("*", "price_usd AS price", "price_usd / area_m2 AS price_per_m2_usd")
+        f"{_OLD} AS published_at", *shared, *point(42, "2", "0, 3, 4, 7")).selectExpr("*", "price_usd AS price", "price_usd / area_m2 AS price_per_m2_usd")
     return stored, incoming
 
 
@@ -219,14 +225,18 @@ _SCENES = f""", c AS (SELECT CAST(c_custkey AS VARCHAR) AS k, c_custkey % 10 AS
     SELECT 's' || k AS id, scene, k, CASE WHEN scene IN (3, 4, 6) THEN 'b' || k || '-1' ELSE 'a' || k END AS source_id,
       CASE WHEN scene IN (0, 1, 3, 4, 6) THEN 'new' ELSE 'old' END AS title,
       CASE scene WHEN 0 THEN p * 0.95 WHEN 3 THEN p * 0.97 WHEN 4 THEN p * 0.98 ELSE p END AS price_usd,
-      CASE WHEN scene = 9 THEN NULL ELSE 3 END AS floor, scene NOT IN (5, 9) AS touched, p FROM was
+      CASE WHEN scene = 9 THEN NULL ELSE 3 END AS floor, scene NOT IN (5, 9) AS touched, p, 'f' || k AS print,
+      CASE WHEN scene = 0 THEN 41.0::DOUBLE WHEN scene IN (2, 3, 4) THEN 42.0::DOUBLE END AS lat,
+      CASE WHEN scene IN (0, 2) THEN 'exact' WHEN scene IN (3, 4) THEN 'approx' END AS coords_precision FROM was
     UNION ALL SELECT 'n' || k || '-' || i, scene, k, 'b' || k || '-' || i, 'new', CASE scene WHEN 7 THEN p * (1 + i / 100.0::DOUBLE) ELSE p END,
-      CASE scene WHEN 5 THEN 4 WHEN 7 THEN 3 END, true, p FROM c, range(1, 3) t(i) WHERE (scene IN (5, 7) AND i = 1) OR scene = 8)"""
+      CASE scene WHEN 5 THEN 4 WHEN 7 THEN 3 END, true, p, CASE WHEN scene <> 8 THEN 'g' || k || '-' || i END,
+      CASE WHEN scene = 7 THEN 42.0::DOUBLE END, CASE WHEN scene = 7 THEN 'approx' END FROM c, range(1, 3) t(i) WHERE (scene IN (5, 7) AND i = 1) OR scene = 8)"""
 
 
 @query("upsert_branches", with_listings(_SCENES + f""" SELECT id, source_id, title, {R('price_usd', 4)} AS price_usd, 'USD' AS currency, floor, 'active' AS status,
   CASE WHEN touched THEN TIMESTAMP '{_UP_NOW}' ELSE TIMESTAMP '1998-12-30 00:00:00' END AS seen_at,
-  CAST(CASE WHEN scene = 7 THEN 2 WHEN scene = 9 OR id[1] = 'n' OR scene = 5 THEN 1 ELSE 2 END AS INTEGER) AS duplicate_count FROM put"""))
+  CAST(CASE WHEN scene = 7 THEN 2 WHEN scene = 9 OR id[1] = 'n' OR scene = 5 THEN 1 ELSE 2 END AS INTEGER) AS duplicate_count,
+  print AS duplicate_group_key, lat, lat AS lng, coords_precision FROM put"""))
 def upsert_branches(spark, sf_dir):
     """K1 and K2 with rows for every branch, with the places each listing is offered at."""
     stored, incoming = _scenes(spark, sf_dir)
@@ -234,7 +244,8 @@ def upsert_branches(spark, sf_dir):
     snapshot, _ = state.upsert(stored, incoming, _UP_NOW, routed=routed)
     links = state.source_url_rows(stored.selectExpr("id AS listing_id", "source", "url"), routed)
     return state.with_duplicate_count(snapshot, links).select(
-        "id", "source_id", "title", F.round("price_usd", 4).alias("price_usd"), "currency", "floor", "status", "seen_at", "duplicate_count")
+        "id", "source_id", "title", F.round("price_usd", 4).alias("price_usd"), "currency", "floor", "status", "seen_at", "duplicate_count",
+        "duplicate_group_key", "lat", "lng", "coords_precision")
 
 
 @query("upsert_branch_events", with_listings(_SCENES + f""" SELECT id AS listing_id, 'first_seen' AS event_type, NULL::DOUBLE AS old_price_usd,
