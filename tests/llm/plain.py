@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from itertools import combinations
 
 import xxhash
 
@@ -79,6 +80,39 @@ def classes(prints: list[int], most: int = 2) -> list[int]:
     return [top(p) for p in prints]
 
 
+def shingle_set(text: str | None, size: int = 5) -> set[tuple]:
+    w = SPACED.findall(lower_ascii(text or ""))
+    return {tuple(w[i:i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}
+
+
+def near_copy_groups(rows: list[tuple], alike: float = 0.8) -> list[list[tuple]]:
+    """The rows of each group linked by the Jaccard similarity of 5-word shingles, by all pairs."""
+    sets = [shingle_set(r[1]) for r in rows]
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        if sets[i] == sets[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= alike:
+            a, b = sorted((top(i), top(j)))
+            up[b] = a
+    groups: dict[int, list[tuple]] = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(top(i), []).append(r)
+    return list(groups.values())
+
+
+def edited(rng: random.Random, text: str, edits: int) -> str:
+    """The text with that many words replaced by new ones."""
+    w = text.split()
+    for i in rng.sample(range(len(w)), edits):
+        w[i] = f"new{rng.randrange(10_000)}"
+    return " ".join(w)
+
+
 def contamination(rows: list[tuple], items: list[tuple], size: int = 10) -> list[tuple]:
     """(doc_id, n_words, n_hit, item ids) by op9's definition."""
     windows = []
