@@ -17,7 +17,6 @@ an output's name give way to it.
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
@@ -27,6 +26,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from parcelflow.llm.byte_bpe import plain_encoder, read_ranks
 from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import slices
@@ -43,13 +43,9 @@ def _encoder(path: str):
 
     The file's added tokens are one id each wherever a text holds them, and cut the text around them, as in tokenizers.
     """
-    import tiktoken
-
-    with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     with open(path, encoding="utf-8") as file:
         added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
-    ordinary = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ordinary = plain_encoder(read_ranks(path.removesuffix(".json") + ".tiktoken"))
     if not added:
         return ordinary
     # where several begin at one place, the longest is meant

@@ -92,8 +92,9 @@ def test_hot_length_and_empty(spark):
 
 
 def test_added_tokens_are_single_ids(spark):
-    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext", "don't<|endoftext|>'t stop <|endoftext|", "É  <|endoftext|>  日本"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\n y", "<|endoftext", "don't<|endoftext|>'t stop <|endoftext|", "É  <|endoftext|>  日本",
+             " " * 1_000_000 + "x", "y" + "\n" * 1_000_000 + "<|endoftext|>" + "z" * 300_000]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    got = best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=2_000_000).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     assert got and 50256 in {x for r in got for x in r["ids"]}
