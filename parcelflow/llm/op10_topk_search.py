@@ -39,7 +39,8 @@ BUCKET_ROWS = 1024
 #: Local cosine above which coordinate pruning is tried, and the coordinates it looks at.
 COORDINATE_COSINE = 0.6
 FOCUS = 4
-_MOST = 1 << 28
+#: doubles from here on are whole numbers; scores beyond a long are held at its ends
+_WHOLE, _LONG = float(1 << 53), (1 << 63) - 1
 _RESULT = "query long, vec_id long, score long"
 
 
@@ -48,7 +49,11 @@ def whole_vectors(vectors: DataFrame, *, id_column: str = "vec_id", vector_colum
     x = F.col(vector_column)
     usable = F.col(id_column).isNotNull() & x.isNotNull() & F.forall(
         x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf"))))
-    whole = F.transform(x, lambda c: F.greatest(F.lit(float(-_MOST)), F.least(F.lit(float(_MOST)), F.floor(c.cast("double") * SCALE).cast("double"))))
+    def scaled(c):
+        y = c.cast("double") * SCALE
+        return F.when(F.abs(y) < _WHOLE, F.floor(y).cast("double")).otherwise(y)
+
+    whole = F.transform(x, scaled)
     rows = vectors.filter(usable).select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("v"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)))
 
@@ -66,11 +71,24 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products as whole numbers: in floating point while that is exact, else in 64-bit integers."""
-    most = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
-    if most < 2**53:
+    """Inner products as whole numbers: in floating point or 64-bit integers while these are exact, else in Python's integers."""
+    width = max(1, q.shape[1])
+    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * width < 2**53:
         return np.rint(q @ c.T).astype(np.int64)
-    return q.astype(np.int64) @ c.astype(np.int64).T
+    safe = np.sqrt(2.0**62 / width)
+    large_q, large_c = (np.flatnonzero(np.abs(m).max(axis=1, initial=0) >= safe) for m in (q, c))
+    out = np.clip(q, -safe, safe).astype(np.int64) @ np.clip(c, -safe, safe).astype(np.int64).T
+
+    def exact(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        one, two = ([[int(x) for x in r] for r in m] for m in (rows, columns))
+        found = [[sum(x * y for x, y in zip(r, s, strict=True)) for s in two] for r in one]
+        return np.array([[max(-_LONG, min(_LONG, x)) for x in r] for r in found], dtype=np.int64).reshape(len(one), len(two))
+
+    if len(large_q):
+        out[large_q] = exact(q[large_q], c)
+    if len(large_c):
+        out[:, large_c] = exact(q, c[large_c])
+    return out
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

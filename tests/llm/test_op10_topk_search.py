@@ -14,13 +14,14 @@ def _plain(rows, queries, top):
     def whole(v):
         if v is None or any(x is None or not math.isfinite(x) for x in v):
             return None
-        return [max(-(1 << 28), min(1 << 28, math.floor(256 * float(np.float32(x))))) for x in v]
+        return [math.floor(256 * float(np.float32(x))) for x in v]
 
     usable = [(i, whole(v)) for i, v, *_ in rows if i is not None and whole(v) is not None]
     asked = {(i, tuple(whole(v))) for i, v, *_ in queries if i is not None and whole(v) is not None}
     out = []
     for q, vector in asked:
-        scored = sorted((-sum(a * b for a, b in zip(vector, v, strict=False)), i) for i, v in usable if i != q)[:top]
+        long = (1 << 63) - 1
+        scored = sorted((-max(-long, min(long, sum(a * b for a, b in zip(vector, v, strict=False)))), i) for i, v in usable if i != q)[:top]
         out += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
     return out
 
@@ -56,3 +57,15 @@ def test_few_rows_and_none(spark):
     assert top_k_search(frame.limit(0), frame).count() == 0
     more = frame.selectExpr("*", "1 AS score", "2 AS norm", "3 AS rank")
     assert top_k_search(more, more).count() == 2
+
+
+def test_large_components_are_exact(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=3) * 2.0 ** rng.integers(0, 40)], 0) for i in range(200)]
+    rows += [(500, [2e6, 1.0, 0.0], 0), (501, [3e6, 1.0, 0.0], 0), (502, [3e30, -3e30, 1.0], 0), (503, [-3e30, 3e30, 1.0], 0), (504, [2.0**40, 2.0**40, -1.0], 0)]
+    vectors = spark.createDataFrame(rows, ROWS)
+    queries = [r for r in rows if r[0] % 10 == 0 or r[0] >= 500]
+    got = top_k_search(vectors, spark.createDataFrame(queries, ROWS), top=5)
+    assert ordered(got.collect()) == ordered(_plain(rows, queries, 5))
+    pair = vectors.filter("vec_id IN (500, 501)")
+    assert {r["score"] for r in top_k_search(pair, pair).collect()} == {393_216_000_000_065_536}
