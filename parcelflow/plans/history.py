@@ -11,10 +11,9 @@ from parcelflow.operators.previous import with_previous
 EVENT_COLUMNS = ["listing_key", "event_type", "old_price_usd", "new_price_usd", "old_status", "new_status", "gap_days", "at"]
 
 
-def sightings_with_previous(sightings: DataFrame, *, key: str = "listing_key", bucket: Column | None = None) -> DataFrame:
-    """Each sighting next to the one before it; days split a hot key's timeline."""
-    bucket = F.to_date("seen_at") if bucket is None else bucket
-    return with_previous(sightings, [key], ["seen_at", "id"], ["seen_at", "price_usd"], bucket)
+def sightings_with_previous(sightings: DataFrame, *, key: str = "listing_key") -> DataFrame:
+    """Each sighting next to the one before it."""
+    return with_previous(sightings, [key], ["seen_at", "id"], ["seen_at", "price_usd"])
 
 
 def gap_days(earlier: Column, later: Column) -> Column:

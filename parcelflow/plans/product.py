@@ -183,22 +183,27 @@ def latency(requests: DataFrame, *, window: str = "5 minutes") -> DataFrame:
     return out.select("window_start", "samples", F.round("p50", 1).alias("p50_ms"), F.round("p95", 1).alias("p95_ms"))
 
 
-def peak_concurrency(requests: DataFrame, *, bucket: str = "minute") -> DataFrame:
+def peak_concurrency(requests: DataFrame, *, inner: str = "minute", outer: str = "day") -> DataFrame:
     """The most requests in flight at once.
 
     Starts and ends are +1/-1 steps, summed per instant first (an end at the same instant counts
-    before a start).  Each time bucket is added up on its own; only one row per bucket enters the
-    running total over all buckets.
+    before a start).  Running totals are added up in three levels: instants inside a minute, minutes inside a day, days.
+    The widest window has one row per day.
     """
     steps = requests.select(F.explode(F.array(
         F.struct(F.col("ts").alias("t"), F.lit(1).alias("d")),
         F.struct((F.col("ts") + F.make_dt_interval(secs=F.col("duration"))).alias("t"), F.lit(-1).alias("d")),
-    )).alias("s")).groupBy("s.t").agg(F.sum("s.d").alias("d")).withColumn("b", F.date_trunc(bucket, "t"))
+    )).alias("s")).groupBy("s.t").agg(F.sum("s.d").alias("d")).withColumn("b", F.date_trunc(inner, "t"))
     inside = steps.withColumn("run", F.sum("d").over(
         Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
-    buckets = inside.groupBy("b").agg(F.sum("d").alias("net"), F.max("run").alias("high"))
-    before = F.coalesce(F.sum("net").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return buckets.withColumn("peak", before + F.col("high")).agg(F.max("peak").alias("peak_inflight"))
+    buckets = inside.groupBy("b").agg(F.sum("d").alias("net"), F.max("run").alias("high")).withColumn("o", F.date_trunc(outer, "b"))
+
+    def before(window) -> Column:
+        return F.coalesce(F.sum("net").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    spans = buckets.withColumn("top", before(Window.partitionBy("o").orderBy("b")) + F.col("high")).groupBy("o").agg(
+        F.sum("net").alias("net"), F.max("top").alias("high"))
+    return spans.withColumn("peak", before(Window.orderBy("o")) + F.col("high")).agg(F.max("peak").alias("peak_inflight"))
 
 
 def traffic(events: DataFrame, as_of: str, *, gap_minutes: int = 30, periods=((1, "today"), (7, "7d"), (30, "30d"))) -> DataFrame:
@@ -208,10 +213,10 @@ def traffic(events: DataFrame, as_of: str, *, gap_minutes: int = 30, periods=((1
     one.  Both facts sit on the row itself, so no session has to be gathered.
     """
     pause = F.expr(f"INTERVAL {gap_minutes} MINUTES")
-    rows = with_previous(events, ["user_id"], ["ts", "event_id"], ["ts"], F.to_date("ts"))
+    rows = with_previous(events, ["user_id"], ["ts", "event_id"], ["ts"])
     rows = rows.withColumn("starts", F.col("prev").isNull() | (F.col("ts") - F.col("prev.ts") > pause)).drop("prev")
     back = rows.withColumn("__t", -F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("__i", -F.col("event_id"))
-    rows = with_previous(back, ["user_id"], ["__t", "__i"], ["starts"], -F.unix_date(F.to_date("ts")))
+    rows = with_previous(back, ["user_id"], ["__t", "__i"], ["starts"])
     rows = rows.withColumn("bounces", F.col("starts") & F.coalesce(F.col("prev.starts"), F.lit(True)))
     today = F.lit(as_of).cast("date")
     spans = F.array(*[F.when(F.to_date("ts") >= F.date_sub(today, d - 1), F.lit(name)) for d, name in periods])

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from helpers import listings, table
 from parcelflow.plans import history, state
@@ -146,3 +146,30 @@ def test_reposts_add_their_urls(spark):
     links = state.source_url_rows(stored.select(F.col("id").alias("listing_id"), "source", "url"), state.route(stored, incoming))
     assert table(links, "listing_id", "url") == [("a", "u1"), ("a", "u2")]
     assert table(state.with_duplicate_count(stored, links), "id", "duplicate_count") == [("a", 2)]
+
+
+def test_hot_key_of_one_day_is_cut(spark):
+    """Half of all rows are one key's on one day; no stretch of a key holds more than its partition's share."""
+    from parcelflow.operators.previous import stretches, with_previous
+
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 997)).alias("listing_key"),
+                                      F.col("id").cast("string").alias("id"), F.pmod(F.hash("id"), F.lit(86_400)).alias("at"))
+    cut = stretches(rows, ["listing_key"], ["at", "id"])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert cut.groupBy("listing_key", "__bucket").count().agg(F.max("count")).first()[0] < 2 * 40_000 / parts
+    assert cut.where("listing_key = 'hot'").select("__bucket").distinct().count() > 1
+    got = with_previous(rows, ["listing_key"], ["at", "id"], ["at", "id"])
+    want = rows.withColumn("prev", F.lag(F.struct("at", "id")).over(Window.partitionBy("listing_key").orderBy("at", "id")))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_fingerprint_stays_what_it_was(spark):
+    """A known row's new fingerprint does not replace the listing's; a later repost at the first price finds it by the old one."""
+    stored = listings(spark, [{"id": "a", "source_id": "A", "price_usd": 50000.0, "duplicate_group_key": "old"}])
+    known = listings(spark, [{"id": "x", "source_id": "A", "price_usd": 60000.0, "duplicate_group_key": "new"}]).drop("status", "seen_at")
+    snapshot, _ = state.upsert(stored, known, "2024-01-12")
+    assert table(snapshot, "id", "price_usd", "duplicate_group_key") == [("a", 60000.0, "old")]
+    repost = listings(spark, [{"id": "y", "source_id": "B", "price_usd": 50000.0, "duplicate_group_key": "old"}]).drop("status", "seen_at")
+    again, events = state.upsert(snapshot, repost, "2024-01-13")
+    assert table(again, "id", "price_usd", "duplicate_group_key") == [("a", 50000.0, "old")]
+    assert table(events, "listing_id", "event_type") == [("a", "price_changed")]
