@@ -5,10 +5,13 @@ stretch with the highest sum: the content region.  The weights come from labelle
 the main text (``article``, ``main`` or the like): log odds of a word's or tag's kind inside against outside of it,
 counted over all such pages in Spark and drawn towards fixed prior weights where there is little to count.
 
-A kind is the tag's name, or whether a word is in a link; and, on a page that names its main text, whether it is inside.
+A kind is the tag's name (names that HTML does not have are one kind), or whether a word is in a link.  The mark of a labelled
+page serves learning only: a page's words and tags score alike wherever they stand, so a story outside of the
+``article`` elements of its page is found as well.  The marking tags themselves are not learned and keep their prior weight.
 
 Menus, page headers, footers, sidebars, notices, adverts, forms and reader comments are known by tag, role or class name;
-their words score nothing and are left out, also within the region.  The heading of a header inside the main text stays.
+their words score nothing and are left out, also within the region, while their tags cost what they cost anywhere.  The
+heading of a header inside the main text stays.
 
 Text: character references are decoded, white space inside a block becomes one space, and blocks are joined in page
 order by one space.
@@ -42,7 +45,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set("""address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td textarea
 tfoot th thead tr ul video audio""".split())
+INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font frame frameset i ins kbd label map mark meter noframes object
+output picture progress q rp rt ruby s samp slot small span strike strong sub summary sup time tt u var""".split())
+MARKS = {"article", "main"}
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+KNOWN_TAGS = BLOCKS | VOID | INLINE | set(RAW.split())
 LEFT_OUT_TAGS = set("nav footer aside form button select textarea option dialog menu head search audio video".split())
 LEFT_OUT_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 MAIN_WORDS = set("article content post entry main story text page body wrapper container layout site".split())
@@ -53,13 +60,14 @@ promotion form search searchbox login signin signup register subscribe subscript
 replies respond disqus discussion hidden offscreen""".split())
 STATE_WORDS = set("has no with without is js not".split())
 #: Prior weights of tags by name, of other tags, and of words outside and inside of links.
-TAG_WEIGHTS = {"p": 0.2, "br": 0.1, "h1": 0.3, "h2": 0.3, "h3": 0.5, "blockquote": 0.5, "pre": 0.5, "li": 1.0, "a": 1.0, "div": 1.0}
+TAG_WEIGHTS = {"p": 0.2, "br": 0.1, "h1": 0.3, "h2": 0.3, "h3": 0.5, "blockquote": 0.5, "pre": 0.5, "li": 1.0, "a": 1.0, "div": 1.0, "article": 3.0, "main": 3.0}
 OTHER_TAG_WEIGHT, WORD_WEIGHT, LINK_WORD_WEIGHT = 0.7, 1.0, 0.2
 
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{"|".join(RAW.split())})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)
     |<[!?][^>]*>|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/<>]*)(?P<rest>(?:[^<>"']++|"[^"]{{0,4000}}+"|'[^']{{0,4000}}+')*+)>
     |<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/<>]*)(?P<rest2>[^<>]*)>|(?P<text>[^<]+|<)""", re.DOTALL | re.IGNORECASE | re.VERBOSE)
+_UNENDED = re.compile(r"<!--|<!\[CDATA\[", re.IGNORECASE)
 _TAG_START, _UNQUOTED = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)"), re.compile(r"""[^<>"']*""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -147,9 +155,14 @@ def _tokens(page: str):
     """(text, name, whether it ends an element, rest of the tag); text or name is None.
 
     The pattern takes quoted values up to 4000 characters; a tag that it does not take whole is followed quote by quote.
+    Behind the last > no tag can end, so that only comments and character data are looked for there.
     """
-    at, failed = 0, set()
+    at, failed, last = 0, set(), page.rfind(">")
     while at < len(page):
+        if at > last:
+            rest = _UNENDED.search(page, at)
+            yield page[at:rest.start() if rest else len(page)], None, None, ""
+            return
         token = _TOKEN.match(page, at)
         if token["name2"] or token["text"] == "<":
             start = _TAG_START.match(page, at)
@@ -218,23 +231,27 @@ def events(page: str) -> list[tuple]:
     return [(*e[:2], (e[2] == mark if mark else None), *e[3:]) for e in found]
 
 
-def _kind(event: tuple) -> tuple[str, str]:
-    """What an event is (general kind), and where on a page that names its main text."""
-    what = f"word{'-link' if event[1] else ''}" if event[0] == "text" else f"tag-{event[1][:20]}"
-    return what, f"{event[0]}-{'inside' if event[2] else 'outside'}"
+def _kind(event: tuple) -> str:
+    """What an event is, wherever it stands."""
+    if event[0] == "text":
+        return "word-link" if event[1] else "word"
+    return f"tag-{event[1]}" if event[1] in KNOWN_TAGS else "tag-*"
 
 
 def count_kinds(page: str, counts: Counter) -> None:
-    """Add a labelled page's words and tags to the counts of (kind, inside)."""
+    """Add a labelled page's words and tags to the counts of (kind, inside).
+
+    Words left out count outside of the mark only: inside, they are neither main text nor a page's frame.
+    """
     seen = events(page)
     if not any(e[2] for e in seen):
         return
     for e in seen:
-        if e[3] and e[0] == "text":
-            continue
-        n = len(e[4].split()) if e[0] == "text" else 1
-        for kind in _kind(e):
-            counts[kind, bool(e[2])] += n
+        if e[0] == "text":
+            if not (e[3] and e[2]):
+                counts[_kind(e), bool(e[2])] += len(references.unescape(e[4]).split())
+        elif e[1] not in MARKS:
+            counts[_kind(e), bool(e[2])] += 1
 
 
 def _prior(kind: str) -> float:
@@ -244,14 +261,11 @@ def _prior(kind: str) -> float:
 
 
 def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Weights by kind: positive for words, negative for tags; where a word or tag stands shifts its weight either way."""
+    """Weights by kind, from the counts of both sides: positive for words, negative for tags."""
     out = {}
     for kind in {k for k, _ in counts}:
         inside, outside = counts.get((kind, True), 0), counts.get((kind, False), 0)
         odds = max(-MOST_WEIGHT, min(MOST_WEIGHT, math.log((inside + 1) / (outside + 1))))
-        if kind.endswith("side"):
-            out[kind] = odds if kind.startswith("text") else 0.0
-            continue
         share = (inside + outside) / (inside + outside + PRIOR_STRENGTH)
         mixed = share * odds + (1 - share) * _prior(kind)
         out[kind] = max(LEAST_WEIGHT, mixed) if kind.startswith("word") else min(-LEAST_WEIGHT, mixed)
@@ -274,15 +288,11 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     seen = events(page or "")
     scores = []
     for e in seen:
-        what, where = _kind(e)
-        each = weights.get(what, _prior(what))
+        kind = _kind(e)
+        each = weights.get(kind, _prior(kind))
         if e[0] == "text":
-            if e[2] is not None:
-                each += weights.get(where, 0.0)
-            scores.append(0.0 if e[3] else each * len(references.unescape(e[4]).split()))
-        else:
-            # inside the marked main text a tag costs the least
-            scores.append(-LEAST_WEIGHT if e[2] else each)
+            each = 0.0 if e[3] else each * len(references.unescape(e[4]).split())
+        scores.append(each)
     start, stop = region(scores)
     blocks: dict[int, list[str]] = {}
     for e in seen[start:stop]:
@@ -292,7 +302,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 
 def learn_weights(pages: DataFrame) -> dict[str, float]:
-    """Weights from all pages that name their main text; kinds are tag names, so few rows come back."""
+    """Weights from all pages that name their main text; kinds are HTML's tag names and three more, so few rows come back."""
 
     def run(batches):
         counts: Counter = Counter()
@@ -306,9 +316,7 @@ def learn_weights(pages: DataFrame) -> dict[str, float]:
 
     total = (pages.select("html").mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside")
              .agg(F.sum("n").alias("n")))
-    # unheard-of tag names keep the prior weight: only kinds seen often enough to move it come to the driver
-    often = total.filter(F.col("n") >= PRIOR_STRENGTH // 4).orderBy(F.desc("n"), "kind", "inside").limit(2000)
-    return weights_from({(r["kind"], r["inside"]): r["n"] for r in often.collect()})
+    return weights_from({(r["kind"], r["inside"]): r["n"] for r in total.collect()})
 
 
 def extract_text(pages: DataFrame, weights: dict[str, float], *, carry: list[str] | None = None) -> DataFrame:

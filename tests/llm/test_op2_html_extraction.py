@@ -1,9 +1,12 @@
+import math
 import random
+import time
+from collections import Counter
 
 import pytest
 from plain import prose
 
-from parcelflow.llm.op2_html_extraction import extract_text, learn_weights, main_text, region
+from parcelflow.llm.op2_html_extraction import count_kinds, extract_text, learn_weights, main_text, region, weights_from
 from parcelflow.llm.queries import QUERIES
 
 PAGES = "page_id long, url string, html string"
@@ -53,7 +56,7 @@ def _weights(spark, sf):
 
 def test_words_are_positive_and_tags_negative(spark, sf):
     weights = _weights(spark, sf)
-    assert weights["word"] > 0 and all(w < 0 for k, w in weights.items() if k.startswith("tag-") and not k.endswith("side"))
+    assert weights["word"] > 0 and all(w < 0 for k, w in weights.items() if k.startswith("tag-"))
     assert weights["tag-li"] < weights["tag-p"]
 
 
@@ -70,14 +73,49 @@ def test_all_pages(spark, sf):
         assert r["text"] == " ".join(html.unescape(inside.replace("<b>", "").replace("</b>", "")).split())
 
 
+def test_the_mark_does_not_decide(spark, sf):
+    weights = _weights(spark, sf)
+    story = " ".join([STORY] * 20)
+    teasers = "".join(f"<article><a href=/{i}>Another story here</a></article>" for i in range(2))
+    # the story stands outside of the page's only article elements
+    for page in (f"<div><h1>Title of it</h1><p>{story}</p></div>{teasers}", f"{teasers}<div><h1>Title of it</h1><p>{story}</p></div>"):
+        assert main_text(_page(page), weights) == f"Title of it {story}"
+    # the same page without, with and with another mark
+    body = f"<nav><ul><li><a href=/>Home</a></li></ul></nav><X><h1>Title</h1><p>{story}</p><p>{STORY}</p></X><footer>by us</footer>"
+    assert {main_text(_page(body.replace("X", x)), weights) for x in ("article", "main", "section", "div")} == {f"Title {story} {STORY}"}
+    assert main_text(_page(body.replace("<X>", "").replace("</X>", "")), weights) == f"Title {story} {STORY}"
+
+
+def test_weights_use_both_sides_of_every_kind(spark):
+    # 30 and 49 are few each, and count all the same; unknown names are one kind
+    page = "<article>" + "<h4>x</h4>" * 30 + "<x-1></x-1><x-2></x-2></article>" + "<h4>x</h4>" * 49
+    counts = Counter()
+    count_kinds(page, counts)
+    assert counts["tag-h4", True] == 60 and counts["tag-h4", False] == 98 and counts["tag-*", True] == 4 and not any("article" in k for k, _ in counts)
+    weights = learn_weights(spark.createDataFrame([(1, "u", page)], PAGES))
+    assert weights == weights_from(counts)
+    share = 158 / 358
+    assert weights["tag-h4"] == pytest.approx(share * math.log(61 / 99) - (1 - share) * 0.7)
+
+
+def test_hostile_pages_take_linear_time():
+    for start in ("<!", "<script ", "<title ", "<?", "</", "<svg <", "<!--", "<![CDATA["):
+        began = time.monotonic()
+        main_text(start * (1_000_000 // len(start)), {})
+        main_text(f"<p>{STORY}</p>" + start * (1_000_000 // len(start)), {})
+        assert time.monotonic() - began < 4
+    assert main_text(f"<p>{STORY} a <b or <!-- not this", {}) == f"{STORY} a <b or"
+
+
 def test_deep_pages_take_linear_time():
     for page in ("<div>" * 200_000 + "word", "<div><p>" * 50_000 + "word" + "</span></b>" * 50_000, "<li>word" * 50_000, "<td>" * 100_000 + "</tr>" * 100_000):
         assert set(main_text(page, {}).split()) <= {"word"}
 
 
 def test_items_end_where_the_next_begins():
-    page = f"<article><ul><li><p>{STORY}<li>two<ul><li>three</ul><li>four</ul><table><tr><td>a<td>b<tr><th>c</table></article>"
-    assert main_text(page, {}) == f"{STORY} two three four a b c"
+    # one-word items cost more than they score, so words on both sides hold them in the region
+    page = f"<article><ul><li><p>{STORY}<li>two<ul><li>three</ul><li>four</ul><table><tr><td>a<td>b<tr><th>c</table><p>{STORY}</article>"
+    assert main_text(page, {}) == f"{STORY} two three four a b c {STORY}"
 
 
 def test_odd_rows(spark):
