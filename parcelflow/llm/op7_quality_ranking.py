@@ -2,11 +2,12 @@
 
 The chance that document a is better than b is logistic(s(a) - s(b)), with s linear in text features.
 Preference pairs (label 1 over label 0) give the weights by logistic loss on feature differences; the
-threshold is the score quantile that leaves the labelled share of good documents above it.
+threshold is the score quantile that leaves the labelled share of good documents above it, taken by exact ranks over
+the scores of all labelled rows.
 
 One pass over the whole texts makes the features of all documents, which are written once, small;
 labels meet them by doc_id.  The fit takes at most ``SAMPLE_ROWS`` labelled rows of either class (those
-with the smallest hash of their doc_id) and ``PAIRS`` pairs among them; the class shares count all labelled rows.
+with the smallest hash of their doc_id) and ``PAIRS`` pairs among them; nothing else is sampled.
 
 The score is logistic(s - threshold), so 0.5 is the threshold.
 
@@ -20,12 +21,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from parcelflow.llm.carry import carried
 from parcelflow.llm.op3_language_id import fold_of
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import NOT_SPACE, Words, byte_class, byte_powers, slices, text_buffers
+from parcelflow.operators.quantiles import grouped_ranks
 from parcelflow.sources.storage import materialise
 
 SAMPLE_ROWS = 10_000
@@ -128,38 +130,51 @@ def fit_bradley_terry(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, rid
     return w
 
 
-def quantile_threshold(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> float:
-    """The score above which lies the labelled share of good rows; samples stand for n_good and n_bad rows."""
-    if not len(good) or not len(bad):
+def _linear(weights: np.ndarray) -> Column:
+    """The score before the logistic, from the features column."""
+    terms = F.zip_with("features", F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x.cast("double") * w)
+    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+
+
+def quantile_threshold(scored: DataFrame, n_bad: int, n: int) -> float:
+    """Halfway between the scores (column s) of ranks n_bad and n_bad + 1 of all n rows; 0.0 without both classes."""
+    if not 0 < n_bad < n:
         return 0.0
-    scores = np.concatenate([good, bad])
-    weight = np.concatenate([np.full(len(good), n_good / len(good)), np.full(len(bad), n_bad / len(bad))])
-    order = np.argsort(scores, kind="stable")
-    below = np.cumsum(weight[order])
-    at = int(np.searchsorted(below, n_bad + 1e-6, side="left"))
-    at = min(max(at, 1), len(scores) - 1)
-    return float((scores[order][at - 1] + scores[order][at]) / 2)
+    at = grouped_ranks(scored, [], "s", {"below": lambda _: F.lit(n_bad), "above": lambda _: F.lit(n_bad + 1)}).first()
+    return (at["below"] + at["above"]) / 2
+
+
+def _pick(labelled: DataFrame, total: int, sample_rows: int) -> np.ndarray:
+    """The features of the ``sample_rows`` rows with the smallest hash of their doc_id.
+
+    The hash has a bound below which twice as many rows are to be expected, so that partitions do not each send
+    ``sample_rows`` of them; where repeated ids leave too few, all rows are ordered.
+    """
+    least = -(1 << 63)
+    bound = least + (2 * sample_rows * (1 << 64)) // max(total, 1)
+    key = F.xxhash64("doc_id")
+    picked = []
+    if bound < -least:
+        picked = labelled.filter(key < F.lit(bound)).orderBy(key, "doc_id").limit(sample_rows).select("features").collect()
+    if len(picked) < min(total, sample_rows):
+        picked = labelled.orderBy(key, "doc_id").limit(sample_rows).select("features").collect()
+    return np.array([r["features"] for r in picked], dtype=np.float64).reshape(len(picked), len(FEATURES))
 
 
 def learn_quality(rows: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
     """Weights and threshold from (doc_id, features) rows and labels (doc_id, 0 or 1)."""
     told = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id")
             .agg(F.avg(label).alias("y")).filter("y <> 0.5").select("doc_id", (F.col("y") > 0.5).alias("y")))
-    joined = rows.join(told, "doc_id")
-    total = {r["y"]: r["n"] for r in joined.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    sample = {}
-    for y in (True, False):
-        picked = joined.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("features").collect()
-        sample[y] = np.array([r["features"] for r in picked], dtype=np.float64).reshape(len(picked), len(FEATURES))
-    w = fit_bradley_terry(sample[True], sample[False])
-    return w, quantile_threshold(sample[True] @ w, sample[False] @ w, total.get(True, 0), total.get(False, 0))
+    labelled = materialise(rows.select("doc_id", "features").join(told, "doc_id"), "quality-labelled")
+    total = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    good, bad = total.get(True, 0), total.get(False, 0)
+    w = fit_bradley_terry(_pick(labelled.filter("y"), good, sample_rows), _pick(labelled.filter("NOT y"), bad, sample_rows))
+    return w, quantile_threshold(labelled.select(_linear(w).alias("s")), bad, good + bad)
 
 
 def score_quality(rows: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """The rows with score and predicted in place of features."""
-    terms = F.zip_with("features", F.array(*[F.lit(float(w)) for w in weights]), lambda x, w: x.cast("double") * w)
-    s = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    score = 1.0 / (1.0 + F.exp(F.lit(threshold) - s))
+    score = 1.0 / (1.0 + F.exp(F.lit(threshold) - _linear(weights)))
     return rows.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("features")
 
 

@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from plain import DOCUMENTS, odd_documents
+from pyspark.sql import functions as F
 
 from parcelflow.llm.op7_quality_ranking import FEATURES, features, fit_bradley_terry, learn_quality, quantile_threshold, score_quality, with_features
 from parcelflow.llm.queries import QUERIES
@@ -25,11 +26,33 @@ def test_pairs_find_the_direction():
     assert not fit_bradley_terry(good[:0], bad).any()
 
 
-def test_threshold_leaves_the_share_above():
-    good, bad = np.arange(10.0), np.arange(5.0) - 3
-    t = quantile_threshold(good, bad, 10, 5)
-    assert (np.concatenate([good, bad]) > t).sum() == pytest.approx(10, abs=2)
-    assert quantile_threshold(good + 10, bad, 1000, 50) == pytest.approx(5.5)
+def test_threshold_leaves_the_share_above(spark):
+    rng = np.random.default_rng(3)
+    for scores, n_bad in ((rng.normal(size=500), 180), (np.arange(15.0) - 3, 5), (np.repeat([-1.0, 0.0, 2.0], 4), 6), (np.array([1.0, 2.0]), 1)):
+        ordered = np.sort(scores)
+        got = quantile_threshold(spark.createDataFrame([(float(x),) for x in scores], "s double"), n_bad, len(scores))
+        assert got == (ordered[n_bad - 1] + ordered[n_bad]) / 2
+    assert quantile_threshold(spark.createDataFrame([(1.0,)], "s double"), 0, 1) == 0.0
+
+
+def test_only_the_fit_is_sampled(spark):
+    rng = np.random.default_rng(5)
+    n, width = 600, len(FEATURES)
+    y = rng.random(n) < 0.6
+    x = (rng.normal(size=(n, width)) + y[:, None]).astype(np.float32)
+    rows = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "doc_id long, features array<float>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    w, t = learn_quality(rows, labels, sample_rows=40)
+    key = {r["doc_id"]: r["k"] for r in rows.select("doc_id", F.xxhash64("doc_id").alias("k")).collect()}
+    pick = {v: sorted(np.flatnonzero(y == v), key=key.get)[:40] for v in (True, False)}
+    assert np.allclose(w, fit_bradley_terry(x[pick[True]].astype(float), x[pick[False]].astype(float)))
+    s = np.sort(x.astype(float) @ w)
+    bad = int((~y).sum())
+    assert t == pytest.approx((s[bad - 1] + s[bad]) / 2)
+    # one id that holds most rows leaves the bounded pick short
+    many = rows.unionByName(rows.filter("doc_id = 7").select("doc_id", "features", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("col"))
+    w, t = learn_quality(many, labels, sample_rows=40)
+    assert np.isfinite(w).all() and np.isfinite(t) and score_quality(many, w, t).count() == 3600
 
 
 def test_features_of_odd_texts():
