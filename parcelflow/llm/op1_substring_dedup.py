@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from parcelflow.llm.carry import carried
+from parcelflow.llm.carry import carried, named_apart, named_back
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import NOT_SPACE, Powers, Words, byte_powers, mix, slices, spark_xxhash64, text_buffers, window_hashes
 
@@ -275,6 +275,8 @@ def substring_dedup(documents: DataFrame, *, size: int = WINDOW, buckets: int |
     spark = documents.sparkSession
     made = ["n_words", "n_removed", "kept_sha256", *outputs]
     carry = carried(documents, carry, made, drop=("text",))
+    documents, plain = named_apart(documents)
+    carry = [plain[c] for c in carry]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 2 * parts
     packed = documents.select("doc_id", "text").mapInArrow(_hash_windows(size, buckets, parts), _PACKED)
@@ -289,7 +291,7 @@ def substring_dedup(documents: DataFrame, *, size: int = WINDOW, buckets: int |
              "removed_spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))}
     fields = [*carry, *made]
     schema = T.StructType([T.StructField(c, kinds[c] if c in kinds and c in made else documents.schema[c].dataType) for c in fields])
-    return both.mapInArrow(_remove(size, fields), schema)
+    return named_back(both.mapInArrow(_remove(size, fields), schema), plain)
 
 
 def without_repeats(documents: DataFrame, *, size: int = WINDOW) -> DataFrame:

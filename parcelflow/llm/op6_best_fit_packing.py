@@ -27,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from parcelflow.llm.byte_bpe import plain_encoder, read_ranks
-from parcelflow.llm.carry import carried
+from parcelflow.llm.carry import carried, named_apart, named_back
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import slices
 from parcelflow.llm.worker import once
@@ -213,9 +213,10 @@ def best_fit_packing(documents: DataFrame, *, tokenizer: str | None = None, capa
     """One row a piece: carried columns (default: all but text), piece, start, length, ids_crc32, ids, sequence_id and offset."""
     made = ["piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"]
     carry = carried(documents, carry, made, drop=("text",))
+    documents, plain = named_apart(documents)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    pieces = tokenised_pieces(documents, tokenizer=path, capacity=capacity, carry=carry, ids=ids)
-    return pack(materialise(pieces, "pieces"), capacity=capacity)
+    pieces = tokenised_pieces(documents, tokenizer=path, capacity=capacity, carry=[plain[c] for c in carry], ids=ids)
+    return named_back(pack(materialise(pieces, "pieces"), capacity=capacity), plain)
 
 
 @query("op6_best_fit_packing")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from parcelflow.llm.carry import carried
+from parcelflow.llm.carry import carried, named_apart, named_back
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import LOWER, WORD_BYTES, Words, byte_powers, mix, slices, text_buffers
 
@@ -209,6 +209,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = W
     the longest verbatim matches as (item_id, item_start, start, length) in words from 0."""
     made = ["n_words", "hit_spans", "item_ids", *(["matches"] if matches else [])]
     carry = carried(documents, carry, [*made, "n_hit", "contaminated"])
+    documents, plain = named_apart(documents)
+    carry = [plain[c] for c in carry]
     spans = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     kinds = {"n_words": T.LongType(), "hit_spans": spans, "item_ids": T.ArrayType(T.LongType()), "matches": MATCHES}
     out = documents
@@ -229,9 +231,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = W
         (s["n"] + F.greatest(F.lit(0).cast("long"), x["stop"] - F.greatest(s["to"], x["start"]))).alias("n"),
         F.greatest(s["to"], x["stop"]).alias("to")))["n"]
     extra = ["matches"] if matches else []
-    return (out.withColumn("n_hit", union)
-            .withColumn("item_ids", F.array_distinct(F.coalesce("item_ids", F.array().cast("array<bigint>"))))
-            .select(*carry, "n_words", "n_hit", "item_ids", (F.col("n_hit") > 0).alias("contaminated"), *extra))
+    found = (out.withColumn("n_hit", union)
+             .withColumn("item_ids", F.array_distinct(F.coalesce("item_ids", F.array().cast("array<bigint>"))))
+             .select(*carry, "n_words", "n_hit", "item_ids", (F.col("n_hit") > 0).alias("contaminated"), *extra))
+    return named_back(found, plain)
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:

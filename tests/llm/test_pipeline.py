@@ -40,7 +40,7 @@ def test_equals_plain_stages(spark, tmp_path):
     assert {r["doc_id"] for r in got} == set(want)
     for r in got:
         piece = want[r["doc_id"]][r["start"]:r["start"] + r["length"]]
-        assert r["ids_crc32"] == zlib.crc32(piece.tobytes())
+        assert r["ids"] == piece.tolist() and r["ids_crc32"] == zlib.crc32(piece.tobytes())
     assert sum(r["length"] for r in got) == sum(map(len, want.values()))
 
 
