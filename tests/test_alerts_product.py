@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -26,6 +27,47 @@ def test_matching_rules(spark):
     assert got == {i for i, (_, ok) in enumerate(cases, 1) if ok}
 
 
+def test_ranges_as_keys(spark):
+    """All kinds of ranges against every pair, and few pairs met beyond the matching ones."""
+    rnd = random.Random(3)
+    rows = [{"price_usd": float(rnd.choice([6000, rnd.randint(5000, 200000)])), "area_m2": float(rnd.randint(20, 150)),
+             "floor": rnd.choice([None, *range(1, 20)]), "rooms": rnd.choice([None, 1, 2, 3]), "district": rnd.choice([None, "D", "E"]),
+             "source": rnd.choice(["board", "feed"]), "discount_percent": rnd.choice([None, *map(float, range(12))]),
+             "commission_pct": rnd.choice([None, 0.0, 2.0])} for _ in range(300)]
+    wishes = [{}, {"districts": None, "rooms": None, "sources": None}]
+    for _ in range(150):
+        wish = {"districts": rnd.choice([[], ["D"], ["D", "E", "E"]]), "rooms": rnd.choice([[], [1], [1, 3]]),
+                "sources": rnd.choice([[], ["feed"]]), "no_commission": rnd.random() < 0.2}
+        for bound, top in (("price", 200000), ("ppm", 3000), ("area", 150), ("floor", 20)):
+            for end in ("min", "max"):
+                if rnd.random() < 0.2:
+                    at = rnd.randint(0, top)
+                    wish[f"{bound}_{end}"] = at if bound == "floor" else float(at)
+        if rnd.random() < 0.5:
+            wish["discount_min"] = float(rnd.randint(0, 11))
+        wishes.append(wish)
+
+    def meets(wish, row):
+        figures = {"price": row["price_usd"], "ppm": row["price_usd"] / row["area_m2"], "area": row["area_m2"], "floor": row["floor"] or 0}
+        least = wish.get("discount_min")
+        return (all(not wish.get(many) or row[one] in wish[many] for many, one in (("districts", "district"), ("rooms", "rooms"), ("sources", "source")))
+                and all(wish.get(f"{b}_min", x) <= x <= wish.get(f"{b}_max", x) for b, x in figures.items())
+                and (least is None or (row["discount_percent"] is not None and row["discount_percent"] >= least))
+                and (not wish.get("no_commission") or row["commission_pct"] == 0))
+
+    expected = {(i, str(j)) for i, w in enumerate(wishes, 1) for j, r in enumerate(rows, 1) if meets(w, r)}
+    known, saved = listings(spark, rows), alert_table(spark, wishes)
+    assert set(table(alerts.match_alerts(known, saved), "user_id", "listing_id")) == expected
+    met = alerts.alert_candidates(known, saved)
+    assert met.select("alert_id", "listing_id").distinct().count() == met.count() <= 5 * len(expected)
+
+
+def test_no_listings_or_alerts(spark):
+    rows, saved = listings(spark, [{"price_usd": 5e4}]), alert_table(spark, [{"price_max": 6e4}])
+    assert table(alerts.match_alerts(rows, saved), "alert_id") == [(1,)]
+    assert alerts.match_alerts(rows.limit(0), saved).count() == alerts.match_alerts(rows, saved.limit(0)).count() == 0
+
+
 def test_commission_and_first_alert(spark):
     rows = listings(spark, [{"id": str(c), "price_usd": 5e4, "commission_pct": c} for c in (None, 0.0, 3.0)])
     a = alert_table(spark, [{"no_commission": True}])
