@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from parcelflow.functions import complex_names as CN
+from parcelflow.sources.storage import materialise
 
 
 def named_listings(listings: DataFrame) -> DataFrame:
@@ -32,7 +33,10 @@ def resolve_complexes(named: DataFrame, dictionary: DataFrame) -> tuple[DataFram
 
 def backfill(listings: DataFrame, dictionary: DataFrame, complex_column: str = "residential_complex_id"):
     """L2: name the listings that have no complex yet; returns (dictionary, listings, report)."""
-    grown, links = resolve_complexes(named_listings(listings.where(F.col(complex_column).isNull())), dictionary)
+    # names are read out of the texts once; the dictionary, the links and the report all use them
+    named = materialise(named_listings(listings.where(F.col(complex_column).isNull())).select(
+        "id", "district", "complex_name", "match_key"), "named-listings")
+    grown, links = resolve_complexes(named, dictionary)
     updated = listings.join(links.withColumnRenamed("listing_id", "id"), "id", "left").withColumn(
         complex_column, F.coalesce(F.col(complex_column), F.col("complex_id"))).drop("complex_id")
     todo = listings.where(F.col(complex_column).isNull()).select(F.lit(1).alias("scanned"), F.lit(0).alias("updated"))

@@ -170,3 +170,35 @@ def catalogue(listings: DataFrame, slices: DataFrame, complexes: DataFrame, *, s
         F.lit("weekly").alias("changefreq"), F.lit("0.6").alias("priority"))
     rows = static.unionByName(hubs).unionByName(homes)
     return rows.join(stamp, "deal_type", "left").select("loc", "lastmod", "changefreq", "priority")
+
+
+CARD = ["url", "title", "price_usd", "price_per_m2_usd", "rooms", "area_m2", "floor", "total_floors", "district"]
+MARKET = ["market_price_per_m2_usd", "market_sample_size", "market_basis", "market_confidence", "discount_percent", "is_below_market"]
+
+
+def source_label(source: Column, labels: dict[str, str]) -> Column:
+    """The label of a known source; another one's name with every run of letters capitalised."""
+    runs = F.regexp_extract_all(F.lower(source), F.lit(r"(\p{L}+|\P{L}+)"))
+    named = F.array_join(F.transform(runs, F.initcap), "")
+    for name, label in labels.items():
+        named = F.when(source == name, F.lit(label)).otherwise(named)
+    return named
+
+
+def card_rows(listings: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
+    """What a card shows: the first photo, the source's label, and a discount only below the market."""
+    return listings.select(
+        "id", *CARD, F.col("address_raw").alias("address"), F.get("photos", F.lit(0)).alias("photo"),
+        F.when(F.col("is_below_market"), F.col("discount_percent")).alias("discount_percent"),
+        "source", source_label(F.col("source"), labels or {}).alias("source_label"))
+
+
+def public_rows(listings: DataFrame) -> DataFrame:
+    """Listings with their estimate as one struct, NULL while they were never valued."""
+    valued = F.col("market_basis").isNotNull() | F.col("market_price_per_m2_usd").isNotNull()
+    market = F.struct(
+        "market_price_per_m2_usd", F.coalesce("market_sample_size", F.lit(0)).alias("sample_size"),
+        F.coalesce("market_basis", F.lit("insufficient_data")).alias("basis"),
+        F.coalesce("market_confidence", F.lit("low")).alias("confidence"), "discount_percent",
+        F.coalesce("is_below_market", F.lit(False)).alias("is_below_market"))
+    return listings.withColumn("market", F.when(valued, market)).drop(*MARKET)

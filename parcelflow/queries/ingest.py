@@ -447,3 +447,55 @@ def slugs(spark, sf_dir):
         F.col("c_custkey").alias("id"), hubs.complex_slug(F.col("c_custkey"), F.col("c_name")).alias("slug"),
         hubs.rooms_slug(1 + F.col("c_custkey") % 6).alias("rooms_slug"))
     return rows.withColumns({"back": hubs.complex_id_from_slug(F.col("slug")), "rooms_back": hubs.rooms_from_slug(F.col("rooms_slug"))})
+
+
+# Listings whose advert names a complex in several spellings; a third is linked already, line 1 names none.
+_SPELT = "CASE p_partkey % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN {title} ELSE p_name END"
+_BACKFILL = f"""WITH {_LINE}, l AS (SELECT lid AS id, CAST(l_suppkey % 25 AS VARCHAR) AS district, CASE WHEN l_returnflag = 'R' THEN l_partkey END AS linked,
+    CASE WHEN l_linenumber > 1 THEN {_SPELT.format(title="upper(p_name[1]) || p_name[2:]")} END AS spelt, replace(p_name, ' ', '') AS key
+    FROM li JOIN part ON p_partkey = l_partkey),
+  known AS (SELECT min(p_partkey) AS kid, p_name, replace(p_name, ' ', '') AS key FROM part GROUP BY p_name HAVING min(p_partkey) % 2 = 0),
+  seen AS (SELECT * FROM l WHERE linked IS NULL AND spelt IS NOT NULL),
+  fresh AS (SELECT key, arg_min(spelt, id) AS name, arg_min(district, id) AS district FROM seen WHERE key NOT IN (SELECT key FROM known) GROUP BY key)"""
+
+
+def _backfilled(spark, sf_dir):
+    spelt = _SPELT.format(title="concat(upper(left(p_name, 1)), substring(p_name, 2))")
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("p_partkey = l_partkey")).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id", "CAST(l_suppkey % 25 AS STRING) AS district",
+        "IF(l_returnflag = 'R', l_partkey, NULL) AS residential_complex_id", "CAST(NULL AS STRING) AS address_raw",
+        f"IF(l_linenumber > 1, concat('квартира в ЖК «', {spelt}, '» срочно'), 'дом с садом') AS description")
+    known = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).where("id % 2 = 0").selectExpr(
+        "id", "name", "replace(name, ' ', '') AS match_key", "CAST(NULL AS STRING) AS district")
+    return known, *dictionary.backfill(rows, known)
+
+
+@query("complex_backfill", _BACKFILL + """ SELECT l.id, coalesce(l.linked, o.kid) AS known_id, coalesce(k.key, o.key, f.key) AS match_key,
+    coalesce(k.p_name, o.p_name, f.name) AS complex_name, f.district AS district
+  FROM l LEFT JOIN known k ON k.kid = l.linked LEFT JOIN known o ON l.linked IS NULL AND l.spelt IS NOT NULL AND o.key = l.key
+    LEFT JOIN fresh f ON l.linked IS NULL AND l.spelt IS NOT NULL AND f.key = l.key""")
+def complex_backfill(spark, sf_dir):
+    """L2 and L4: every listing's complex afterwards; ids of new complexes are hashes and not shown."""
+    known, grown, updated, _ = _backfilled(spark, sf_dir)
+    named = grown.select(F.col("id").alias("residential_complex_id"), F.col("name").alias("complex_name"), "match_key",
+                         F.col("district").alias("complex_district"))
+    old = known.select(F.col("id").alias("residential_complex_id"), F.lit(True).alias("old"))
+    out = updated.join(named, "residential_complex_id", "left").join(old, "residential_complex_id", "left")
+    is_new = F.col("old").isNull() & F.col("match_key").isNotNull()
+    return out.select("id", F.when(~is_new, F.col("residential_complex_id")).alias("known_id"), "match_key", "complex_name",
+                      F.col("complex_district").alias("district"))
+
+
+@query("complex_backfill_report", _BACKFILL + """ SELECT (SELECT count(*) FROM l WHERE linked IS NULL) AS scanned, (SELECT count(*) FROM seen) AS updated""")
+def complex_backfill_report(spark, sf_dir):
+    """L2: the report, which is all that a dry run shows."""
+    return _backfilled(spark, sf_dir)[3]
+
+
+@query("source_tokens", """WITH t AS (SELECT doc_id, left(regexp_replace(text, '[^A-Za-z0-9_-]', '', 'g'), 64) AS token, lang FROM documents)
+  SELECT doc_id, nullif(token, '') AS token, CASE WHEN doc_id % 4 IN (0, 2) THEN 'uz' ELSE 'ru' END AS language FROM t""")
+def source_tokens(spark, sf_dir):
+    """Texts as acquisition labels, and language codes in several forms."""
+    code = F.expr("CASE doc_id % 4 WHEN 0 THEN concat('UZ-', coalesce(lang, '')) WHEN 1 THEN NULL WHEN 2 THEN 'uz' ELSE lang END")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", T.source_token(F.col("text")).alias("token"), T.language(code).alias("language"))

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from helpers import listings, table
 from parcelflow.operators.quantiles import grouped_median, grouped_medians, grouped_ranks, nearest_rank
-from parcelflow.plans import complexes, hubs, market, sellers, yields
+from parcelflow.plans import complexes, hubs, market, sellers, state, yields
 
 
 def base(spark, ppms, **extra):
@@ -99,3 +99,18 @@ def test_hubs(spark):
     made = spark.createDataFrame([("Центр Плаза",), ("Чиланзарский район",), ("Қўқон",)], "x string").select(
         hubs.complex_slug(F.lit(1), F.col("x")).alias("c"), hubs.district_slug(F.col("x")).alias("d"))
     assert [tuple(r) for r in made.collect()] == [("1-centr-plaza", "centr-plaza"), ("1-chilanzarskiy-rayon", "chilanzar"), ("1-on", "on")]
+
+
+def test_cards_and_public_rows(spark):
+    rows = listings(spark, [
+        {"price_usd": 5e4, "source": "flat_board", "photos": ["a", "b"], "discount_percent": 20.0},
+        {"price_usd": 5e4, "source": "big", "photos": [], "discount_percent": 5.0},
+        {"price_usd": 5e4, "source": "b2b", "photos": None},
+    ]).withColumns({"is_below_market": F.col("discount_percent") >= 15, "market_price_per_m2_usd": F.lit(None).cast("double"),
+                    "market_sample_size": F.lit(None).cast("int"), "market_basis": F.expr("IF(id < '3', 'building', NULL)"),
+                    "market_confidence": F.lit(None).cast("string")})
+    got = table(hubs.card_rows(rows, {"big": "The Big One"}), "id", "photo", "discount_percent", "source_label")
+    assert got == [("1", "a", 20.0, "Flat_Board"), ("2", None, None, "The Big One"), ("3", None, None, "B2B")]
+    got = table(hubs.public_rows(rows), "id", "market.basis", "market.sample_size", "market.confidence", "market.is_below_market")
+    assert got == [("1", "building", 0, "low", True), ("2", "building", 0, "low", False), ("3", None, None, None, None)]
+    assert table(state.pending_estimate(rows), "id") == [("3",)]
