@@ -1,10 +1,13 @@
 """Sightings of one flat over time: events, summaries, delisting and snapshot merge."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from parcelflow.plans import history, state
+from parcelflow.plans import cycles, history, state
 from parcelflow.queries.proxy import AS_OF, listings, table, with_listings
 from parcelflow.queries.registry import R, query
+from parcelflow.sources.storage import materialise, shared_dir
 
 _NOW = f"{AS_OF} 00:00:00"
 _KEY = "concat_ws('/', deal_type, district, rooms, CAST(area_m2 AS INT))"
@@ -166,6 +169,51 @@ def upsert_events(spark, sf_dir):
     return events.select("listing_id", "event_type")
 
 
+# Two cycles: flats whose latest floor is even come first, the others a day later; implausible ones are refused.
+_CYCLES = _SEEN + f""", old AS (SELECT listing_key AS id, arg_max(price_usd, (seen_at, id)) AS price, max(seen_at) AS seen
+    FROM seen WHERE seen_at < TIMESTAMP '{_SPLIT}' GROUP BY listing_key),
+  new AS (SELECT listing_key AS id, arg_max(price_usd, (seen_at, id)) AS price, arg_max(price_per_m2_usd, (seen_at, id)) AS ppm,
+      arg_max(deal_type, (seen_at, id)) AS deal, 1 + arg_max(floor, (seen_at, id)) % 2 AS cycle
+    FROM seen WHERE seen_at >= TIMESTAMP '{_SPLIT}' GROUP BY listing_key),
+  judged AS (SELECT *, price >= CASE WHEN deal = 'rent' THEN 50 ELSE 5000 END
+      AND ppm >= CASE WHEN deal = 'rent' THEN 0.3 ELSE 100 END AS ok FROM new),
+  kept AS (SELECT * FROM judged WHERE ok)"""
+
+
+def _cycled(spark, sf_dir):
+    """Both cycles, each of them tried again after it was committed; returns their folder."""
+    rows = sightings(spark, sf_dir)
+    unseen = {"seller_id": F.col("source_id"), "is_business": F.lit(None).cast("boolean"), "seller_type": F.lit(None).cast("string"),
+              "district": F.col("source_id")}
+    stored, incoming = _as_rows(rows, False).withColumns(unseen), _as_rows(rows, True).drop("status", "seen_at").withColumns(unseen)
+    incoming = materialise(incoming, "cycle-incoming")
+    out = f"{shared_dir(spark)}/cycles-{uuid.uuid4().hex}"
+    cycles.begin(stored, out)
+    first, second = incoming.where("floor % 2 = 0"), incoming.where("floor % 2 = 1")
+    for batch, as_of, cycle in ((first, _UP_NOW, 1), (first, _UP_NOW, 1), (second, _CYCLE_NOW, 2), (first, _UP_NOW, 1)):
+        cycles.run_cycle(batch, as_of, cycle, out)
+    return out
+
+
+_CYCLE_NOW = "1999-01-03 00:00:00"
+
+
+@query("ingest_cycles", with_listings(_CYCLES + f""" SELECT id, {R('coalesce(k.price, o.price)', 6)} AS price_usd,
+    CASE WHEN k.id IS NULL AND seen < TIMESTAMP '{_CYCLE_NOW}' - INTERVAL 3 DAY THEN 'removed' ELSE 'active' END AS status
+  FROM old o FULL JOIN kept k USING (id)"""))
+def ingest_cycles(spark, sf_dir):
+    """The listings after two cycles."""
+    return cycles.current_listings(spark, _cycled(spark, sf_dir)).select("id", F.round("price_usd", 6).alias("price_usd"), "status")
+
+
+@query("ingest_cycle_runs", with_listings(_CYCLES + """ SELECT CAST(cycle AS INTEGER) AS cycle, 'board' AS source, count(*) FILTER (ok) AS found,
+    count(*) FILTER (ok AND id NOT IN (SELECT id FROM old)) AS new_count, count(*) FILTER (NOT ok) AS rejected, 'success' AS status
+  FROM judged GROUP BY cycle"""))
+def ingest_cycle_runs(spark, sf_dir):
+    """One run a cycle and source, however often a cycle was tried."""
+    return cycles.log(spark, _cycled(spark, sf_dir), "runs").drop("finished_at")
+
+
 @query("probe_sweep", with_listings(f""", probes AS (
     SELECT id, is_business AS gone, CASE WHEN rooms % 2 = 0 THEN price_usd * (1 - commission_pct / 100) END AS usd FROM listings),
   j AS (SELECT l.*, p.gone, p.usd, p.gone AND status = 'active' AS drops,

@@ -1,9 +1,10 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from helpers import listings, table
-from parcelflow.plans import history, state
+from parcelflow.plans import cycles, history, state
 
 NOW = "2024-01-12 00:00:00"
 
@@ -173,3 +174,28 @@ def test_fingerprint_stays_what_it_was(spark):
     again, events = state.upsert(snapshot, repost, "2024-01-13")
     assert table(again, "id", "price_usd", "duplicate_group_key") == [("a", 50000.0, "old")]
     assert table(events, "listing_id", "event_type") == [("a", "price_changed")]
+
+
+def test_replayed_and_broken_cycles_leave_one_result(spark, tmp_path):
+    out = str(tmp_path / "cycles")
+    stored = listings(spark, [{"id": "a", "source_id": "A", "price_usd": 60000.0, "district": "E"}])
+    batch = listings(spark, [{"id": "x", "source_id": "X", "price_usd": 70000.0}, {"id": "low", "source_id": "L", "price_usd": 1.0}])
+    other = listings(spark, [{"id": "y", "source_id": "Y", "price_usd": 90000.0, "district": "F"}])
+    batch, other = batch.drop("status", "seen_at"), other.drop("status", "seen_at")
+    cycles.begin(stored, out)
+    assert cycles.run_cycle(batch, NOW, 1, out)
+    before = table(cycles.current_listings(spark, out), "id", "status", "price_usd")
+    # a repeated start and a repeated cycle change nothing, whatever they bring
+    cycles.begin(other, out)
+    assert not cycles.run_cycle(other, NOW, 1, out)
+    # the next cycle stopped before its manifest row: nobody sees it, and the next attempt replaces it
+    other.write.parquet(f"{out}/listings/cycle=2")
+    other.write.parquet(f"{out}/runs/cycle=2")
+    assert table(cycles.current_listings(spark, out), "id", "status", "price_usd") == before
+    assert table(cycles.log(spark, out, "runs"), "cycle", "found", "new_count", "rejected") == [(1, 1, 1, 1)]
+    assert cycles.run_cycle(other, NOW, 2, out)
+    assert [r[0] for r in table(cycles.current_listings(spark, out), "id")] == ["a", "x", "y"]
+    assert table(cycles.log(spark, out, "runs"), "cycle", "new_count") == [(1, 1), (2, 1)]
+    assert table(cycles.log(spark, out, "events").where("event_type = 'first_seen'"), "cycle", "listing_id") == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError):
+        cycles.run_cycle(other, NOW, -1, out)
