@@ -99,3 +99,39 @@ def test_incremental_scope_follows_removed_moved_and_placeless_rows(spark):
     assert scope == {"2", "3", "4", "5", "6", "7", "8", "9", "10"}
     only = {r.id for r in C.changed_and_neighbours(before, after, changed.where("id = '9'")).collect()}
     assert only == {"9", "10"}
+
+
+@pytest.mark.parametrize("unknown", [True, False])
+def test_nearest_routes_every_equal_attribute(spark, unknown):
+    """Candidates meet classes of their own material and floor block only; unknown values meet all."""
+    rnd = random.Random(7)
+    maybe = [None] if unknown else []
+    rows = [(i, rnd.choice([40.0, 41.0, 43.0]), rnd.choice([*maybe, -3, -1, 0, 1, 2, 5, 7]), rnd.choice([*maybe, "a", "b", "?", "*"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, pos double, fl int, mat string").withColumn("key", group_key(F.lit("g")))
+    attrs = [Tolerant("fl", 2, routed=True), Tolerant("mat", routed=True)]
+    lists = nearest_lists(df, df, key="key", position="pos", ident="id", payload=[], k=3, reach=(0.15, 0.15), attrs=attrs)
+    got = {r.id: list(r.ids) for r in df.withColumn("class", class_key("key", attrs)).join(lists, ["class", "pos"]).select(
+        "id", F.transform(others("near", "id", F.col("id"), 3), lambda e: e["id"]).alias("ids")).collect()}
+
+    def fits(a, b):
+        return (a[0] != b[0] and (a[2] is None or b[2] is None or abs(a[2] - b[2]) <= 2) and (a[3] is None or b[3] is None or a[3] == b[3]))
+
+    want = {a[0]: [b[0] for b in sorted((b for b in rows if fits(a, b)), key=lambda b: (abs(b[1] - a[1]), b[0]))][:3] for a in rows}
+    assert got == want
+
+
+def test_later_tiers_search_open_subjects_only(spark, monkeypatch):
+    """Listings that their complex values ask no later tier, and a tier that nobody asks is left out; class keys stay short."""
+    asked = []
+
+    def counted(subjects, *args, **kwargs):
+        asked.append(sorted(r.id for r in subjects.select("id").collect()))
+        return nearest_lists(subjects, *args, **kwargs)
+
+    monkeypatch.setattr(C, "nearest_lists", counted)
+    rows = [*[{"ppm": 1000.0, "complex": "X"}] * 4, {"ppm": 900.0, "complex": "Y"}, {"ppm": 900.0, "district": "far"}]
+    got = {r.id: r.basis for r in compared(spark, rows).collect()}
+    assert got == {**dict.fromkeys("1234", "complex"), "5": "district", "6": None}
+    assert asked == [["1", "2", "3", "4", "5"], ["5", "6"], ["6"]]
+    key = spark.range(1).select(class_key(group_key(F.lit("a" * 100)), []).alias("k")).first().k
+    assert len(key) == 16
