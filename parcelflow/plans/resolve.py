@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow import constants as K
-from parcelflow.operators.keys import group_key, join_on
+from parcelflow.operators.keys import digest, group_key, join_on
 from parcelflow.operators.nearest import Tolerant, class_key, nearest_lists, others
 from parcelflow.operators.pivot_clusters import pivot_clusters
 from parcelflow.sources.storage import materialise
@@ -56,7 +56,14 @@ def same_flat(incoming: DataFrame, stored: DataFrame, *, tolerance: float = K.DU
     any.  This is a nearest-neighbour search with one neighbour, so no pairs are spelled out.
     """
     attrs = [Tolerant("floor", 0, routed=True)]
-    incoming, stored = (d.withColumn("flat", group_key(*keys)) for d in (incoming, stored))
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        return materialise(rows.select("id", "floor", "price_usd", digest(group_key(*keys)).alias("flat")), "flats")
+
+    # written once, since the search reads them three times
+    same = incoming is stored
+    incoming = narrow(incoming)
+    stored = incoming if same else narrow(stored)
     lists = nearest_lists(incoming, stored, key="flat", position="price_usd", ident="id", payload=[],
                           k=1, reach=(tolerance, tolerance), attrs=attrs)
     return (
