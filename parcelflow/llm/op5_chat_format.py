@@ -111,11 +111,13 @@ def _conversations(batches):
 
 def _formatted(path: str, loss_role: str, batch_chars: int):
     def rows(held, tok):
-        texts = [render(turns, loss_role) for _, turns in held]
         out = []
-        for (conv, turns), (text, spans), enc in zip(held, texts, tok.encode_batch([t for t, _ in texts], add_special_tokens=False), strict=True):
+        for conv, turns in held:
+            text, spans = render(turns, loss_role)
+            # one encoding at a time: a batch of them, made by threads of its own, takes far more memory than its ids
+            enc = tok.encode(text, add_special_tokens=False)
             starts, ends = np.fromiter(chain.from_iterable(enc.offsets), dtype=np.int32, count=2 * len(enc)).reshape(-1, 2).T
-            out.append({"conv_id": conv, "n_turns": len(turns), "formatted": text, "input_ids": enc.ids, "token_starts": starts,
+            out.append({"conv_id": conv, "n_turns": len(turns), "formatted": text, "input_ids": np.array(enc.ids, dtype=np.int32), "token_starts": starts,
                         "token_ends": ends, "loss_mask": loss_mask(starts, ends, spans)})
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
         return pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], kind) for f, kind in zip(_SCHEMA, kinds, strict=True)], [f.name for f in _SCHEMA])

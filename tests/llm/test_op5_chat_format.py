@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from plain import prose
 
@@ -59,3 +60,22 @@ def test_empty_table_and_more_columns(spark):
     assert read_back(format_conversations(spark.createDataFrame([], ROWS))).count() == 0
     more = spark.createDataFrame([(1, 0, "user", "a", "mine", 3)], ROWS + ", formatted string, n_turns int")
     assert format_conversations(more).collect()[0]["n_turns"] == 1
+
+
+def test_one_encoding_is_held_at_a_time(monkeypatch):
+    """A batch's encodings are not all alive together."""
+    import public_tokenizers
+    from parcelflow.llm import op5_chat_format as op5
+
+    real, calls = op5.tokenizer(public_tokenizers.path("byte_bpe_50k.json")), []
+
+    class Single:
+        def encode(self, text, **kwargs):
+            calls.append(text)
+            return real.encode(text, **kwargs)
+
+    monkeypatch.setattr(op5, "once", lambda key, make: Single())
+    batch = pa.RecordBatch.from_pydict({"conv_id": [1, 1, 2], "role": ["user", "assistant", "user"], "text": ["a b", "c", ""]})
+    rows = [r for b in op5._formatted("any", "assistant", 1 << 20)(iter([batch])) for r in b.to_pylist()]
+    assert [r["formatted"] for r in rows] == calls and [r["n_turns"] for r in rows] == [2, 1]
+    assert sum(rows[0]["loss_mask"]) == 1 and not any(rows[1]["loss_mask"])
