@@ -35,13 +35,14 @@ _SEEN = f""", seen AS (SELECT *, concat_ws('/', deal_type, district, rooms, CAST
   gone AS (SELECT listing_key, TIMESTAMP '{_NOW}' AS "at" FROM last WHERE seen_at < TIMESTAMP '{_NOW}' - INTERVAL 3 DAY)"""
 
 
-def _events(spark, sf_dir):
-    return history.listing_events(history.sightings_with_previous(sightings(spark, sf_dir)))
+def _events(rows):
+    # the columns that events are made of: what else a sighting holds is neither dealt nor written
+    return history.listing_events(history.sightings_with_previous(rows.select("listing_key", "id", "seen_at", "price_usd")))
 
 
-def _last(spark, sf_dir):
+def _last(rows):
     order = F.struct("seen_at", "id")
-    return sightings(spark, sf_dir).groupBy("listing_key").agg(
+    return rows.groupBy("listing_key").agg(
         F.max("seen_at").alias("seen_at"), F.max_by("price_usd", order).alias("price_usd"), F.min("created_at").alias("created_at"))
 
 
@@ -52,26 +53,26 @@ def _settled(df):
 @query("listing_events", with_listings(_SEEN + f""" SELECT listing_key, event_type, {R('old_price_usd', 6)} AS old_price_usd,
   {R('new_price_usd', 6)} AS new_price_usd, old_status, new_status, gap_days, "at" FROM events"""))
 def listing_events(spark, sf_dir):
-    return _settled(_events(spark, sf_dir))
+    return _settled(_events(sightings(spark, sf_dir)))
 
 
 @query("price_drops", with_listings(_SEEN + f""" SELECT listing_key, "at", {R('old_price_usd', 6)} AS old_price_usd,
   {R('new_price_usd', 6)} AS new_price_usd FROM events WHERE event_type = 'price_changed'"""))
 def price_drops(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_type = 'price_changed'")
+    e = _events(sightings(spark, sf_dir)).where("event_type = 'price_changed'")
     return _settled(e.select("listing_key", "at", "old_price_usd", "new_price_usd"))
 
 
 @query("relist_gaps", with_listings(_SEEN + ' SELECT listing_key, "at", gap_days FROM events WHERE event_type = \'relisted\''))
 def relist_gaps(spark, sf_dir):
-    return _events(spark, sf_dir).where("event_type = 'relisted'").select("listing_key", "at", "gap_days")
+    return _events(sightings(spark, sf_dir)).where("event_type = 'relisted'").select("listing_key", "at", "gap_days")
 
 
 @query("purge_noise_events", with_listings(_SEEN + """ SELECT event_type, count(*) AS kept FROM events
   WHERE NOT (event_type = 'price_changed' AND (new_price_usd >= old_price_usd
     OR old_price_usd - new_price_usd <= old_price_usd * 0.05)) GROUP BY event_type"""))
 def purge_noise_events(spark, sf_dir):
-    return history.without_noise(_events(spark, sf_dir), 0.05).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
+    return history.without_noise(_events(sightings(spark, sf_dir)), 0.05).groupBy("event_type").agg(F.count(F.lit(1)).alias("kept"))
 
 
 @query("history_summary", with_listings(_SEEN + f""", sums AS (
@@ -90,10 +91,11 @@ def purge_noise_events(spark, sf_dir):
     CASE WHEN relisted_count > 0 AND change <= -5 THEN 'ready_to_bargain' WHEN relisted_count > 0 THEN 'relisted'
       WHEN change <= -5 THEN 'price_falling' END AS verdict FROM h"""))
 def history_summary(spark, sf_dir):
-    last = _last(spark, sf_dir)
+    rows = materialise(sightings(spark, sf_dir).select("listing_key", "id", "seen_at", "price_usd", "created_at"), "sightings")
+    last = materialise(_last(rows), "last-sightings")
     _, gone = history.delist(last.select(F.col("listing_key").alias("id"), "price_usd", "seen_at", F.lit("active").alias("status")), _NOW)
     current = last.select("listing_key", F.col("price_usd").alias("current_price_usd"), "created_at")
-    out = history.history_summary(_events(spark, sf_dir).unionByName(gone), current)
+    out = history.history_summary(_events(rows).unionByName(gone), current)
     return out.withColumns({
         "verdict": history.history_verdict(F.col("total_price_change_percent"), F.col("relisted_count")),
         **{c: F.round(c, 6) for c in ("first_price_usd", "current_price_usd", "total_price_change_percent")}})
@@ -118,12 +120,19 @@ _SPLIT = "1999-01-01 00:00:00"
 _UP_NOW = "1999-01-02 00:00:00"
 
 
-def _as_rows(df, after: bool):
-    """Latest sighting of each flat before or from the split date, shaped as snapshot rows."""
+def _sides(spark, sf_dir):
+    """Latest sighting of each flat before and from the split date, found in one pass and written once."""
     cut = F.expr(f"TIMESTAMP_NTZ '{_SPLIT}'")
-    side = df.where(F.col("seen_at") >= cut if after else F.col("seen_at") < cut)
     cols = ["id", "price_usd", "price_per_m2_usd", "seen_at", "source", "district", "rooms", "area_m2", "floor", "deal_type"]
-    rows = side.groupBy("listing_key").agg(F.max_by(F.struct(*cols), F.struct("seen_at", "id")).alias("r"))
+    row, order = F.struct(*cols), F.struct("seen_at", "id")
+    return materialise(sightings(spark, sf_dir).groupBy("listing_key").agg(
+        F.max_by(row, F.when(F.col("seen_at") < cut, order)).alias("before"),
+        F.max_by(row, F.when(F.col("seen_at") >= cut, order)).alias("after")), "latest-sightings")
+
+
+def _as_rows(sides, side: str):
+    """One side's sightings, shaped as snapshot rows."""
+    rows = sides.select("listing_key", F.col(side).alias("r")).where("r IS NOT NULL")
     none = F.lit(None)
     return rows.select(
         F.col("r.*"), F.col("listing_key").alias("source_id")
@@ -144,8 +153,8 @@ _UPSERT = _SEEN + f""", old AS (SELECT listing_key, arg_max(price_usd, (seen_at,
 
 
 def _upsert(spark, sf_dir):
-    rows = sightings(spark, sf_dir)
-    stored, incoming = _as_rows(rows, False), _as_rows(rows, True).drop("status", "seen_at")
+    rows = _sides(spark, sf_dir)
+    stored, incoming = _as_rows(rows, "before"), _as_rows(rows, "after").drop("status", "seen_at")
     # Flats are told apart by key alone here, so the tolerant match has no candidates to offer.
     stored = stored.withColumn("district", F.col("source_id"))
     incoming = incoming.withColumn("district", F.col("source_id"))
@@ -182,10 +191,10 @@ _CYCLES = _SEEN + f""", old AS (SELECT listing_key AS id, arg_max(price_usd, (se
 
 def _cycled(spark, sf_dir):
     """Both cycles, each of them tried again after it was committed; returns their folder."""
-    rows = sightings(spark, sf_dir)
+    rows = _sides(spark, sf_dir)
     unseen = {"seller_id": F.col("source_id"), "is_business": F.lit(None).cast("boolean"), "seller_type": F.lit(None).cast("string"),
               "district": F.col("source_id")}
-    stored, incoming = _as_rows(rows, False).withColumns(unseen), _as_rows(rows, True).drop("status", "seen_at").withColumns(unseen)
+    stored, incoming = _as_rows(rows, "before").withColumns(unseen), _as_rows(rows, "after").drop("status", "seen_at").withColumns(unseen)
     incoming = materialise(incoming, "cycle-incoming")
     out = f"{shared_dir(spark)}/cycles-{uuid.uuid4().hex}"
     cycles.begin(stored, out)
