@@ -199,3 +199,31 @@ def test_replayed_and_broken_cycles_leave_one_result(spark, tmp_path):
     assert table(cycles.log(spark, out, "events").where("event_type = 'first_seen'"), "cycle", "listing_id") == [(1, "x"), (2, "y")]
     with pytest.raises(ValueError):
         cycles.run_cycle(other, NOW, -1, out)
+
+
+def _sighted(spark):
+    rows = [{"id": str(i), "price_usd": 100000.0 - 9000 * i, "seen_at": dt.datetime(1998, 12, 1 + 20 * i)} for i in range(2)]
+    later = [{"id": "2", "price_usd": 70000.0, "seen_at": dt.datetime(1999, 1, 5)}, {"id": "3", "price_usd": 1.0, "seen_at": None}]
+    return listings(spark, rows + later).withColumn("listing_key", F.lit("flat"))
+
+
+def test_events_deal_only_their_columns(spark, monkeypatch):
+    from parcelflow.operators import previous
+    from parcelflow.queries import history as queries
+
+    written, write = {}, previous.materialise
+    monkeypatch.setattr(previous, "materialise", lambda df, label: (written.update({label: df.columns}), write(df, label))[1])
+    monkeypatch.setattr(queries, "sightings", lambda spark, sf_dir: _sighted(spark).where("seen_at IS NOT NULL"))
+    out = queries.listing_events(spark, "")
+    assert table(out, "event_type", "new_price_usd") == [
+        ("first_seen", 100000.0), ("price_changed", 70000.0), ("price_changed", 91000.0), ("relisted", None), ("relisted", None)]
+    assert sorted(written["stretches"]) == ["__bucket", "id", "listing_key", "price_usd", "seen_at"]
+
+
+def test_upsert_sides_come_from_one_pass(spark, monkeypatch):
+    from parcelflow.queries import history as queries
+
+    monkeypatch.setattr(queries, "sightings", lambda spark, sf_dir: _sighted(spark))
+    out = queries.upsert_events(spark, "")
+    assert table(out, "listing_id", "event_type") == [("flat", "price_changed"), ("flat", "relisted")]
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
