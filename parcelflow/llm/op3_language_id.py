@@ -31,7 +31,8 @@ ORDER = 3
 PROFILE = 400
 MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
-_SLICE_BYTES = 2 << 20
+# a slice takes about 150 bytes of memory a byte of text
+_SLICE_BYTES = 512 << 10
 _SPACE, _UNSEEN = 0x20, 0xFFFFFFFF
 
 

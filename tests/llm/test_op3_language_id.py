@@ -54,3 +54,19 @@ def test_stage_and_odd_tables(spark):
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in predict_language(unlabelled.drop("score"), learn_profiles(unlabelled)).collect()} == {"und"}
     assert {r["score"] for r in predict_language(docs, {}).collect()} == {0.0}
+
+
+def test_memory_of_a_batch_is_a_slice():
+    import tracemalloc
+
+    import pyarrow as pa
+    from parcelflow.llm import op3_language_id as op3
+
+    texts = ["the quick brown fox jumps over the lazy dog " * 6000] * 8
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 8, "text": texts})
+    tracemalloc.start()
+    counts = list(op3._training_counts(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert counts[0].num_rows > 50
+    assert peak < 100e6
