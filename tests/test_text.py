@@ -109,3 +109,12 @@ def test_place_word_as_name(spark):
     assert apply(spark, CN.clean_name, names) == names
     assert all(len(k) >= 2 for k in apply(spark, CN.match_key, names))
     assert apply(spark, CN.match_key, ["Birches Учтепинский"]) == apply(spark, CN.match_key, ["Birches"])
+
+
+def test_a_title_pattern_runs_once(spark):
+    from parcelflow.functions import text as T
+
+    rows = spark.createDataFrame([("3-комнат, 64 м2",), ("9 комнат",), (None,)], "t string")
+    out = rows.select(T.first_in_range(F.col("t"), [r"(\d+)\s*[- ]?комнат"], 1, 8).alias("n"))
+    assert [r.n for r in out.collect()] == [3.0, None, None]
+    assert out._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 1
