@@ -78,3 +78,26 @@ def test_source_links(spark):
     links = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "1")], "id string, canonical_id string")
     out = resolve.duplicate_counts(resolve.source_links(rows, links))
     assert table(out, "canonical_id", "duplicate_count") == [("1", 2)]
+
+
+def test_groups_travel_under_short_keys(spark, monkeypatch):
+    """A pass carries no column but the ones it ranks and fills by, and a group's key is 16 bytes."""
+    from parcelflow.operators import pivot_clusters as P
+
+    written = {}
+    for module in (resolve, P):
+        def keep(df, label, write=module.materialise):
+            written.setdefault(label, df.columns)
+            return write(df, label)
+        monkeypatch.setattr(module, "materialise", keep)
+    got = merge(spark, [{"price_usd": p} for p in (99191.93, 99012.52, 100104.06)])
+    assert table(got["links"], "id", "canonical_id", "pass") == [("1", "2", 2), ("3", "2", 2)]
+    assert written["cluster-values"] == ["__group", "__v"]
+    assert not {"title", "description", "district"} & set(written["clustered"] + written["floor-groups"])
+
+
+def test_first_duplicate_reads_its_rows_once(spark):
+    rows = listings(spark, [{"price_usd": 5000.0}, {"price_usd": 5000.0}, {"price_usd": 5000.0, "rooms": None}, {"price_usd": 6000.0, "rooms": None}])
+    out = resolve.first_duplicate(rows, keys=["deal_type", "rooms"])
+    assert table(out, "id", "duplicate_id") == [("1", "2"), ("2", "1"), ("3", "4"), ("4", "3")]
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
