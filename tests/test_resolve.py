@@ -101,3 +101,13 @@ def test_first_duplicate_reads_its_rows_once(spark):
     out = resolve.first_duplicate(rows, keys=["deal_type", "rooms"])
     assert table(out, "id", "duplicate_id") == [("1", "2"), ("2", "1"), ("3", "4"), ("4", "3")]
     assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_source_links_read_their_rows_once(spark, monkeypatch):
+    from parcelflow.queries import resolve as queries
+
+    offered = [{"price_usd": 50000.0, "seller_id": "7"}, {"price_usd": 50000.0, "seller_id": "8"}, {"price_usd": 50000.0, "seller_id": "7", "rooms": None}]
+    monkeypatch.setattr(queries, "listings", lambda spark, sf_dir: listings(spark, offered))
+    out = queries.source_link_rows(spark, "")
+    assert table(out, "canonical_id", "url", "best_id") == [("1", "7", "1"), ("1", "8", "2"), ("3", "7", "3")]
+    assert "LogicalRDD" not in out._jdf.queryExecution().optimizedPlan().toString()
