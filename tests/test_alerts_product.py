@@ -76,6 +76,35 @@ def test_commission_and_first_alert(spark):
     assert table(alerts.match_alerts(rows.limit(1), two), "user_id", "alert_id") == [(1, 4)]
 
 
+def test_first_alert_of_few_and_many(spark):
+    """Users with one to twelve alerts, equal and missing ids, and listing ids that come more than once."""
+    rnd = random.Random(7)
+    rows = [{"id": str(i % 50), "price_usd": float(rnd.randint(5000, 90000)), "rooms": rnd.choice([1, 2, 3]), "district": rnd.choice(["D", "E"]),
+             "discount_percent": rnd.choice([None, 3.0, 9.0]), "commission_pct": rnd.choice([None, 0.0])} for i in range(60)]
+    wishes = [{"id": rnd.choice([None, 100 * user + k // 2]), "user_id": user or None, "rooms": rnd.choice([[], [1], [2, 3]]),
+               "districts": rnd.choice([[], ["E"]]), "price_max": rnd.choice([None, 20000.0, 60000.0]),
+               "discount_min": rnd.choice([None, 5.0]), "no_commission": rnd.random() < 0.2} for user in range(13) for k in range(user or 2)]
+    first = {}
+    for w in wishes:
+        for r in rows:
+            if ((not w["rooms"] or r["rooms"] in w["rooms"]) and (not w["districts"] or r["district"] in w["districts"])
+                    and (w["price_max"] is None or r["price_usd"] <= w["price_max"])
+                    and (w["discount_min"] is None or (r["discount_percent"] or 0) >= w["discount_min"])
+                    and (not w["no_commission"] or r["commission_pct"] == 0)):
+                pair = w["user_id"], r["id"]
+                first[pair] = min((i for i in (first.get(pair), w["id"]) if i is not None), default=None)
+    got = table(alerts.match_alerts(listings(spark, rows), alert_table(spark, wishes)), "user_id", "listing_id", "alert_id")
+    assert got == sorted(((*pair, i) for pair, i in first.items()), key=repr)
+
+
+def test_pairs_are_not_grouped(spark):
+    """Pairs grow with users times listings: none of them is shuffled to find a user's first alert."""
+    rows = listings(spark, [{"price_usd": 5e4 + i} for i in range(20)])
+    saved = alert_table(spark, [{"id": i, "user_id": i % 4, "rooms": [2, i]} for i in range(12)])
+    plan = alerts.match_alerts(rows, saved)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_csv_and_bots(spark):
     df = spark.createDataFrame([(" a, b ,,c", "2, x,3"), (None, None)], "t string, n string")
     assert [tuple(r) for r in df.select(alerts.csv_list(F.col("t")), alerts.csv_ints(F.col("n"))).collect()] == [
