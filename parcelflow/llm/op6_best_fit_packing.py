@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from parcelflow.llm.byte_bpe import plain_encoder, read_ranks
 from parcelflow.llm.carry import carried, named_apart, named_back
 from parcelflow.llm.registry import query, table
-from parcelflow.llm.textbatch import slices
+from parcelflow.llm.textbatch import slices, text_buffers
 from parcelflow.llm.worker import once
 from parcelflow.sources.storage import materialise
 
 CAPACITY = 2048
 END = 0
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 512 << 10
+_PLACED_ROWS = 512
 
 
 def _encoder(path: str):
@@ -67,10 +68,14 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenised_pieces(documents: DataFrame, *, tokenizer: str, capacity: int = CAPACITY, carry: list[str], ids: bool = True) -> DataFrame:
-    """One row a piece: carried columns, piece, start, length, ids_crc32 and, with ``ids``, its token ids."""
+    """One row a piece: carried columns, piece, start, length, ids_crc32 and, with ``ids``, its token ids.
+
+    The ids are little-endian 32-bit bytes; :func:`pack` turns them into numbers.  Spark reads a batch of lists of numbers with
+    levels for each number, several times the memory of the same bytes.
+    """
     fields = [documents.schema[c] for c in carry]
     made = [T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-            T.StructField("ids_crc32", T.LongType())] + ([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else [])
+            T.StructField("ids_crc32", T.LongType())] + ([T.StructField("ids", T.BinaryType())] if ids else [])
 
     def run(batches):
         encode = once(("encoder", tokenizer), lambda: _encoder(tokenizer))
@@ -83,18 +88,24 @@ def tokenised_pieces(documents: DataFrame, *, tokenizer: str, capacity: int = CA
                         piece = all_ids[start:start + length]
                         row.append(i)
                         rows.append((k, start, length, zlib.crc32(piece.tobytes())))
-                        tokens.append(piece)
+                        if ids:
+                            tokens.append(piece.tobytes())
                 taken = part.select(carry).take(pa.array(row, pa.int64()))
                 numbers = list(zip(*rows, strict=True))
                 columns = [*taken.columns, *[pa.array(x, kind) for x, kind in zip(numbers, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]]
                 if ids:
-                    ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tokens).astype(np.int32))))
+                    columns.append(pa.array(tokens, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*fields, *made]])
 
     return documents.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, T.StructType([*fields, *made]))
 
 
+def _id_lists(column: pa.Array) -> pa.Array:
+    """Lists of 32-bit numbers out of their bytes."""
+    data, offsets = text_buffers(column)
+    return pa.ListArray.from_arrays(pa.array((offsets // 4).astype(np.int32)), pa.array(np.frombuffer(data.tobytes(), "<i4").astype(np.int32)))
+
+
 class Layouts:
     """Ranges of equal sequences under construction, by the room they have left."""
 
@@ -173,11 +184,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Layouts:
     return out
 
 
-def pack(pieces: DataFrame, *, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = CAPACITY, salts: int | None = None, packed: str | None = None) -> DataFrame:
     """The pieces (with a ``length``) and their sequence_id and offset.
 
     ``salts`` is the number of groups that share the ranking of one length (default: four for each
-    shuffle partition).
+    shuffle partition).  The bytes in the column ``packed`` become lists of numbers.
     """
     salts = salts or 4 * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     identity = [c for c in ("doc_id", "piece", "ids_crc32") if c in pieces.columns]
@@ -195,16 +206,18 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, salts: int | None = Non
     columns = [*carried, "sequence_id", "offset"]
 
     def place(batches):
-        for batch in batches:
+        for batch in (whole.slice(i, _PLACED_ROWS) for whole in batches for i in range(0, whole.num_rows, _PLACED_ROWS)):
             rank = batch.column("__rank").to_numpy()
             at = np.searchsorted(firsts, batch.column("length").to_numpy() * (1 << 48) + rank, side="right") - 1
             sequence = places[at, 2] + rank - places[at, 1]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(sequence), pa.array(places[at, 4])], columns)
+            kept = [_id_lists(batch.column(c)) if c == packed else batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(places[at, 4])], columns)
 
     order = Window.partitionBy("length", "__salt").orderBy(*identity)
     ranked = (salted.withColumn("__n", F.row_number().over(order) - 1).join(before, ["length", "__salt"])
               .select(*carried, (F.col("__before") + F.col("__n")).alias("__rank")))
-    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    fields = [T.StructField(f.name, T.ArrayType(T.IntegerType())) if f.name == packed else f for f in pieces.schema]
+    schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, schema)
 
 
@@ -216,7 +229,7 @@ def best_fit_packing(documents: DataFrame, *, tokenizer: str | None = None, capa
     documents, plain = named_apart(documents)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     pieces = tokenised_pieces(documents, tokenizer=path, capacity=capacity, carry=[plain[c] for c in carry], ids=ids)
-    return named_back(pack(materialise(pieces, "pieces"), capacity=capacity), plain)
+    return named_back(pack(materialise(pieces, "pieces"), capacity=capacity, packed="ids" if ids else None), plain)
 
 
 @query("op6_best_fit_packing")

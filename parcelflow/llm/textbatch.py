@@ -73,14 +73,14 @@ class Powers:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the len + 1 offsets into them; null is empty."""
+    """Bytes of a string (UTF-8) or binary column and the len + 1 offsets into them; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    wide = pa.types.is_large_string(column.type)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
     off = np.frombuffer(offsets, dtype=np.int64 if wide else np.int32)
     off = off[column.offset:column.offset + len(column) + 1].astype(np.int64)

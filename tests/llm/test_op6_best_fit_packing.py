@@ -7,7 +7,7 @@ import pytest
 from plain import DOCUMENTS, odd_documents
 from tokenizers import Tokenizer
 
-from parcelflow.llm.op6_best_fit_packing import best_fit_packing, cut, pack, plan
+from parcelflow.llm.op6_best_fit_packing import best_fit_packing, cut, pack, plan, tokenised_pieces
 
 
 def _filled(layouts):
@@ -98,3 +98,14 @@ def test_added_tokens_are_single_ids(spark):
     got = best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), capacity=2_000_000).collect()
     assert {r["doc_id"]: r["ids"] for r in got} == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     assert got and 50256 in {x for r in got for x in r["ids"]}
+
+
+def test_ids_travel_as_bytes(spark):
+    """Batches of lists of numbers took executors past their memory; the pieces hold bytes up to the last step."""
+    docs = spark.createDataFrame(odd_documents(), DOCUMENTS)
+    pieces = tokenised_pieces(docs, tokenizer=public_tokenizers.path("byte_bpe_50k.json"), carry=["doc_id"])
+    assert dict(pieces.dtypes)["ids"] == "binary"
+    sent = {(r["ids_crc32"], bytes(r["ids"])) for r in pieces.collect()}
+    got = pack(pieces, packed="ids")
+    assert dict(got.dtypes)["ids"] == "array<int>" and "ids" in got.columns
+    assert {(r["ids_crc32"], np.array(r["ids"], "<i4").tobytes()) for r in got.collect()} == sent
