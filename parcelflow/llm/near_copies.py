@@ -1,9 +1,11 @@
-"""One document of each group of near copies: MinHash bands find candidates, exact Jaccard similarity decides.
+"""One document of each group of near copies: SimHash and MinHash find candidates, exact Jaccard similarity decides.
 
 A document is the set of its 5-word shingles (lower-case ASCII; a text of fewer words is one shingle).  Documents with a
 Jaccard similarity of 0.8 or more are linked, and linked documents share a group.
 
 * Documents with equal sets are one node, so exact copies cost one row whatever their number.
+* Operator 8 links the nodes' fingerprints (SimHash by Golay keys, two bits); nodes of one of its components share a bucket.  Two bits
+  find very small edits only, so there are more buckets:
 * A node has 32 bands of four MinHash values.  Two nodes of similarity s share a band with probability
   1 - (1 - s**4)**32: all but 5 of 100 million pairs at 0.8, more above.  Pairs whose set sizes alone rule out 0.8 are never formed.
 * Leader rounds: the node of a bucket that meets most others over all its buckets leads it (the original of a family of copies does),
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from parcelflow.llm.components import connected_components
+from parcelflow.llm.op8_simhash_golay import fingerprint_components, fingerprints
 from parcelflow.llm.textbatch import LOWER, NOT_SPACE, Powers, Words, byte_powers, mix, slices, text_buffers, window_hashes
 from parcelflow.sources.storage import materialise
 
@@ -34,7 +37,7 @@ SHINGLE = 5
 ALIKE = 0.8
 BANDS, BAND_ROWS = 32, 4
 _NO_ID = -(1 << 63)
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 512 << 10
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 _SEEDS = mix(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1)
 
@@ -73,8 +76,8 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _with_keys(documents: DataFrame, carry: list[str], size: int) -> DataFrame:
-    """The carried columns, ``digest`` and ``size`` of the shingle set and its band ``keys``."""
-    schema = T.StructType([*documents.select(*carry).schema, T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """The carried columns, ``fp`` (operator 8's fingerprint), ``digest`` and ``size`` of the shingle set and its band ``keys``."""
+    schema = T.StructType([*documents.select(*carry).schema, T.StructField("fp", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -84,7 +87,7 @@ def _with_keys(documents: DataFrame, carry: list[str], size: int) -> DataFrame:
                 made = iter(band_keys(some).view(np.uint64)) if some else iter(())
                 keys = [next(made) if len(s) else s for s in sets]
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(keys)], schema.names)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(fingerprints(part.column("text"))), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(keys)], schema.names)
 
     return documents.select(*carry, "text").mapInArrow(run, schema)
 
@@ -115,6 +118,12 @@ def _pairs(met: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _simhash_postings(nodes: DataFrame) -> DataFrame:
+    """(node, size, key): a bucket for each component of the nodes' fingerprints ``fp``."""
+    distinct = materialise(nodes.select("fp").distinct(), "distinct-fingerprints")
+    return nodes.join(fingerprint_components(distinct), "fp").select("node", "size", F.xxhash64(F.lit("simhash"), "label").alias("key"))
+
+
 def _shared_buckets(postings: DataFrame) -> DataFrame:
     """(key, node, size, meets) of the buckets that nodes share; ``meets`` adds up the node's buckets."""
     counts = postings.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
@@ -165,11 +174,12 @@ def one_of_near_copies(documents: DataFrame, *, size: int = SHINGLE, alike: floa
     # keys without nulls: the join's partitioning then serves the last step as well
     row = ["__text_key", "__id"]
     marked = plain.withColumns({"__text_key": F.xxhash64("text"), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))})
-    best = F.struct(F.col("__null"), F.col("__id"), F.col("__text_key"))
+    # a node's fingerprint is that of its best row
+    best = F.struct(F.col("__null"), F.col("__id"), F.col("__text_key"), F.col("fp"))
     keyed = _with_keys(marked.withColumn("__null", F.col("doc_id").isNull()), ["__null", *row], size)
     nodes = materialise(keyed.groupBy("digest").agg(F.min(best).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-                        .select(F.monotonically_increasing_id().alias("node"), "best", "size", "keys"), "shingle-nodes")
-    places = _shared_buckets(nodes.select("node", "size", F.explode("keys").alias("key")))
+                        .select(F.monotonically_increasing_id().alias("node"), "best", "best.fp", "size", "keys"), "shingle-nodes")
+    places = _shared_buckets(nodes.select("node", "size", F.explode("keys").alias("key")).unionByName(_simhash_postings(nodes)))
     wanted = places.select("node").distinct().join(nodes, "node").select("node", "best.__text_key", "best.__id")
     sets = materialise(_with_sets(marked.join(wanted, row).dropDuplicates(row), size), "shingle-sets")
     edges = materialise(_alike(_led(places, alike), sets, alike), "near-copies")

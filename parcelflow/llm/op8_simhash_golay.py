@@ -195,14 +195,19 @@ def fingerprint_edges(distinct: DataFrame) -> DataFrame:
             .mapInArrow(_bucket_edges, "a long, b long").distinct())
 
 
+def fingerprint_components(distinct: DataFrame) -> DataFrame:
+    """A table of distinct fingerprints with the ``label`` of each one's component."""
+    labels = connected_components(fingerprint_edges(distinct))
+    return (distinct.join(labels, distinct["fp"] == labels["node"], "left")
+            .select(*distinct.columns, F.coalesce("label", "fp").alias("label")))
+
+
 def simhash_components(documents: DataFrame, *, carry: list[str] | None = None, size: int = SHINGLE) -> DataFrame:
     """The carried columns (default: all but text), fingerprint and component_id of every row."""
     carry = carried(documents, carry, ["fp", "fingerprint", "component_id"], drop=("text",))
     rows = materialise(with_fingerprints(documents, list(dict.fromkeys([*carry, "doc_id"])), size), "fingerprints")
     distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    labels = connected_components(fingerprint_edges(distinct))
-    named = (distinct.join(labels, distinct["fp"] == labels["node"], "left")
-             .select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    named = fingerprint_components(distinct)
     smallest = named.groupBy("label").agg(F.min("least").alias("component_id"))
     of_fp = named.join(smallest, "label").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(

@@ -66,3 +66,18 @@ def test_sets_and_keys_do_not_depend_on_the_batch():
     some = [s for s in together if len(s)]
     assert np.array_equal(band_keys(some), np.concatenate([band_keys([s]) for s in some]))
     assert band_keys(some).shape[1] == near_copies.BANDS
+
+
+def test_components_of_fingerprints_are_buckets(spark):
+    """Operator 8 is a step of the stage: chains of fingerprints two bits apart share a bucket, others do not."""
+    fps = [0, 3, 15, 1 << 40, (1 << 40) | (1 << 50), -1]
+    nodes = spark.createDataFrame([(i, fp, 10) for i, fp in enumerate([*fps, 15])], "node long, fp long, size long")
+    got = near_copies._simhash_postings(nodes).groupBy("key").agg({"node": "collect_set"}).collect()
+    assert sorted(sorted(r[1]) for r in got) == [[0, 1, 2, 3, 4, 6], [5]]
+
+
+def test_stage_asks_for_components(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_copies, "fingerprint_components", lambda d: asked.append(d.columns) or d.selectExpr("*", "fp AS label"))
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 1), (2, "d e f", "en", "s", 1)], DOCUMENTS)
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 2 and asked == [["fp"]]
