@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from parcelflow.llm.components import connected_components
 from parcelflow.llm.op8_simhash_golay import fingerprint_components, fingerprints
 from parcelflow.llm.textbatch import LOWER, NOT_SPACE, Powers, Words, byte_powers, mix, slices, text_buffers, window_hashes
+from parcelflow.llm.worker import tidy
 from parcelflow.sources.storage import materialise
 
 SHINGLE = 5
@@ -89,7 +90,7 @@ def _with_keys(documents: DataFrame, carry: list[str], size: int) -> DataFrame:
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carry], pa.array(fingerprints(part.column("text"))), pa.array(digests, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), _lists(keys)], schema.names)
 
-    return documents.select(*carry, "text").mapInArrow(run, schema)
+    return documents.select(*carry, "text").mapInArrow(tidy(run), schema)
 
 
 def _with_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -98,7 +99,7 @@ def _with_sets(texts: DataFrame, size: int) -> DataFrame:
             for part in slices(batch, "text", _SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("node"), _lists(shingle_sets(part.column("text"), size))], ["node", "shingles"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return texts.select("node", "text").mapInArrow(tidy(run), "node long, shingles array<long>")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, alike: float) -> DataFrame:

@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from parcelflow.llm.carry import carried, named_apart, named_back
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import NOT_SPACE, Powers, Words, byte_powers, mix, slices, spark_xxhash64, text_buffers, window_hashes
+from parcelflow.llm.worker import tidy
 
 WINDOW = 20
 _FIRST_BASE, _SECOND_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _SECOND_SALT = np.uint64(0xA0761D6478BD642F)
 _NO_ID = np.iinfo(np.int64).min
 _FLUSH_WINDOWS = 1_000_000
-_SLICE_BYTES = 2 << 20
+_FLUSH_BUCKETS = 64
+_SLICE_BYTES = 512 << 10
 
 _PACKED = T.StructType([
     T.StructField("part", T.LongType()),
@@ -134,13 +136,22 @@ def _hash_windows(size: int, buckets: int, parts: int):
 
         def flush():
             one, two, docs, starts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             bucket = (two % np.uint64(buckets)).astype(np.int64)
+            two = mix(two)
+            two ^= one
             # equal windows in this flush: the first place speaks for them
-            known = _earlier(one ^ mix(two), docs, starts)
-            go, stay = np.flatnonzero(~known), np.flatnonzero(known)
-            rows = list(_by_part(bucket[go], _ENTRIES, one[go], docs[go], starts[go]))
-            rows += _by_part(_doc_part(docs[stay], parts), _REPEATS, one[stay].astype(np.uint32), docs[stay], starts[stay])
-            return _rows(rows)
+            known = _earlier(two, docs, starts)
+            del two
+            stay = np.flatnonzero(known)
+            if len(stay):
+                yield _rows(list(_by_part(_doc_part(docs[stay], parts), _REPEATS, one[stay].astype(np.uint32), docs[stay], starts[stay])))
+            bucket[stay] = buckets
+            order = np.argsort(bucket, kind="stable")[:len(bucket) - len(stay)]
+            cuts = np.searchsorted(bucket[order], np.arange(0, buckets, _FLUSH_BUCKETS))
+            for part in np.split(order, cuts[1:]):
+                if len(part):
+                    yield _rows(list(_by_part(bucket[part], _ENTRIES, one[part], docs[part], starts[part])))
 
         for batch in batches:
             for piece in slices(batch, "text", _SLICE_BYTES):
@@ -148,13 +159,13 @@ def _hash_windows(size: int, buckets: int, parts: int):
                 words = Words(*text_buffers(piece.column("text")), NOT_SPACE)
                 one, two, text, starts = _windows(words, size, powers)
                 if len(one):
-                    held.append((one, two, ids[text], starts))
+                    held.append((one, two, ids[text], starts.astype(np.int32)))
                     count += len(one)
                 if count >= _FLUSH_WINDOWS:
-                    yield flush()
-                    held, count = [], 0
+                    yield from flush()
+                    count = 0
         if count:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -279,8 +290,8 @@ def substring_dedup(documents: DataFrame, *, size: int = WINDOW, buckets: int |
     carry = [plain[c] for c in carry]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = buckets or 2 * parts
-    packed = documents.select("doc_id", "text").mapInArrow(_hash_windows(size, buckets, parts), _PACKED)
-    repeats = packed.repartition(parts, "part").mapInArrow(_count_windows(parts), _PACKED)
+    packed = documents.select("doc_id", "text").mapInArrow(tidy(_hash_windows(size, buckets, parts)), _PACKED)
+    repeats = packed.repartition(parts, "part").mapInArrow(tidy(_count_windows(parts)), _PACKED)
     needed = list(dict.fromkeys([*carry, "doc_id", "text"]))
     own = documents.select(*needed, F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))), F.lit(parts)).alias("__part"), F.lit(None).cast("binary").alias("__body"))
     there = repeats.select(*[F.lit(None).cast(documents.schema[c].dataType).alias(c) for c in needed],
@@ -291,7 +302,7 @@ def substring_dedup(documents: DataFrame, *, size: int = WINDOW, buckets: int |
              "removed_spans": T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))}
     fields = [*carry, *made]
     schema = T.StructType([T.StructField(c, kinds[c] if c in kinds and c in made else documents.schema[c].dataType) for c in fields])
-    return named_back(both.mapInArrow(_remove(size, fields), schema), plain)
+    return named_back(both.mapInArrow(tidy(_remove(size, fields)), schema), plain)
 
 
 def without_repeats(documents: DataFrame, *, size: int = WINDOW) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from parcelflow.llm.carry import carried
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import slices
+from parcelflow.llm.worker import tidy
 
 ORDER = 3
 PROFILE = 400
@@ -120,7 +121,7 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 def learn_profiles(training: DataFrame, size: int = PROFILE) -> dict[str, list[int]]:
     """Each language's ``size`` most frequent n-grams, most frequent first."""
     rows = training.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), "text")
-    counts = rows.mapInArrow(_training_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_training_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     ranked = counts.withColumn("place", place).filter(F.col("place") <= size).select("lang", "gram", "place")
     top = ranked.limit(MOST_LANGUAGES * size + 1).collect()
@@ -174,7 +175,7 @@ def predict_language(documents: DataFrame, profiles: dict[str, list[int]], *, si
                                                  [*carry, "lang_pred", "score"])
 
     schema = T.StructType([*[documents.schema[c] for c in carry], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return documents.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
+    return documents.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(run), schema)
 
 
 def fold_of(doc_id: str, folds: int) -> Column:

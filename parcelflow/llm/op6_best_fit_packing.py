@@ -30,7 +30,7 @@ from parcelflow.llm.byte_bpe import plain_encoder, read_ranks
 from parcelflow.llm.carry import carried, named_apart, named_back
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import slices, text_buffers
-from parcelflow.llm.worker import once
+from parcelflow.llm.worker import once, tidy
 from parcelflow.sources.storage import materialise
 
 CAPACITY = 2048
@@ -97,7 +97,7 @@ def tokenised_pieces(documents: DataFrame, *, tokenizer: str, capacity: int = CA
                     columns.append(pa.array(tokens, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in [*fields, *made]])
 
-    return documents.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, T.StructType([*fields, *made]))
+    return documents.select(*dict.fromkeys([*carry, "text"])).mapInArrow(tidy(run), T.StructType([*fields, *made]))
 
 
 def _id_lists(column: pa.Array) -> pa.Array:
@@ -218,7 +218,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, salts: int | None = Non
               .select(*carried, (F.col("__before") + F.col("__n")).alias("__rank")))
     fields = [T.StructField(f.name, T.ArrayType(T.IntegerType())) if f.name == packed else f for f in pieces.schema]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(tidy(place), schema)
 
 
 def best_fit_packing(documents: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, carry: list[str] | None = None,

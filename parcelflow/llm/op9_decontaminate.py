@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from parcelflow.llm.carry import carried, named_apart, named_back
 from parcelflow.llm.registry import query, table
 from parcelflow.llm.textbatch import LOWER, WORD_BYTES, Words, byte_powers, mix, slices, text_buffers
+from parcelflow.llm.worker import tidy
 
 WINDOW = 10
 #: Benchmark rows a block sends to the tasks: its bound for memory.
 BLOCK_BYTES = 32 << 20
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 _FILTER_BITS = 22
 _END = np.uint64(0)
 
@@ -219,7 +220,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = W
         # a later block adds to the columns that the blocks before it made
         names = [c for c in out.columns if c in carry or c == "text" or c.startswith("__")]
         schema = T.StructType([*[out.schema[c] for c in names], *[T.StructField(c, kinds[c]) for c in made]])
-        out = out.select(*names).mapInArrow(_shards(window, ids, texts, names, matches), schema)
+        out = out.select(*names).mapInArrow(tidy(_shards(window, ids, texts, names, matches)), schema)
         if blocks:
             for c in made[1:]:
                 out = out.withColumn(c, F.concat(F.coalesce(c, F.array().cast(kinds[c])), F.coalesce(f"__{c}", F.array().cast(kinds[c]))))

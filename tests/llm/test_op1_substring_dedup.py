@@ -1,7 +1,13 @@
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
-from plain import DOCUMENTS, SPACED, odd_documents, ordered, repeats, sha
+from plain import DOCUMENTS, SPACED, odd_documents, ordered, prose, repeats, sha
 
+from parcelflow.llm import op1_substring_dedup as op1
 from parcelflow.llm.op1_substring_dedup import substring_dedup, without_repeats
+from parcelflow.llm.worker import tidy
 
 
 @pytest.mark.parametrize("buckets", [None, 1, 7])
@@ -54,3 +60,18 @@ def test_empty_table_and_clash(spark):
     got = substring_dedup(spark.createDataFrame([(*r, "x", -1) for r in rows], DOCUMENTS + ", Kept_Text string, n_removed int"))
     assert ordered(got.select("doc_id", "n_removed").collect()) == ordered((d, n) for d, _, n, _ in repeats(rows))
     assert got.columns == ["doc_id", "lang", "source", "n_chars", "n_words", "n_removed", "kept_sha256", "kept_text", "removed_spans"]
+
+
+def test_windows_leave_a_few_buckets_at_a_time():
+    """A flush of a million windows stood in a worker several times over; it goes out in batches of some buckets."""
+    rng = random.Random(3)
+    texts = [prose(rng, 400, 5000) for _ in range(10)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts * 2)], ["doc_id", "text"])
+    out = list(tidy(op1._hash_windows(20, 200, 8))(iter([batch])))
+    assert len(out) > 3 and max(b.num_rows for b in out) <= op1._FLUSH_BUCKETS
+    rows = [r for b in out for r in b.to_pylist()]
+    entries = [r["part"] for r in rows if r["kind"] == op1._ENTRIES]
+    assert len(entries) == len(set(entries)) > 190
+    seen = [len(op1._unpack([r["body"]], np.uint64 if r["kind"] == op1._ENTRIES else np.uint32)[0]) for r in rows]
+    assert sum(seen) == 20 * 381
+    assert sum(n for n, r in zip(seen, rows, strict=True) if r["kind"] == op1._REPEATS) == 10 * 381
