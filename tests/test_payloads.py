@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from helpers import table
+from parcelflow.functions import text as T
 from parcelflow.plans import dictionary
 from parcelflow.sources import payloads
 from parcelflow.sources.schemas import PAYLOAD, struct_type
@@ -114,3 +115,14 @@ def test_backfill_gets_or_creates(spark):
     ids = dict(table(updated, "id", "residential_complex_id"))
     assert ids["a"] == 1 and ids["b"] == ids["c"] not in (None, 1) and ids["d"] is None
     assert grown.count() == 2 and tuple(report.first()) == (4, 3)
+
+
+def test_extractions_run_once(spark):
+    """A filter on extracted columns must not repeat the extraction, nor a test for an empty text."""
+    for layout, body, mark in (("nested_api", "{}", T.AREA_IN_TITLE), ("cards", "", "data-area")):
+        out = payloads.parse_payloads(landed(spark, layout, body), layouts=[layout]).select("source_id", "price", "area_m2", "rooms")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # an attribute of a card may stand in the tag or in a child
+        assert 1 <= plan.count(mark) <= (2 if layout == "cards" else 1), layout
+    texts = spark.createDataFrame([("",), ("x",), (None,)], "t string")
+    assert [r[0] for r in texts.select(payloads._blank(F.col("t"))).collect()] == [None, "x", None]
