@@ -37,7 +37,7 @@ WINDOW = 20
 _FIRST_BASE, _SECOND_BASE = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 _SECOND_SALT = np.uint64(0xA0761D6478BD642F)
 _NO_ID = np.iinfo(np.int64).min
-_FLUSH_WINDOWS = 1_000_000
+_FLUSH_WINDOWS = 500_000
 _FLUSH_BUCKETS = 64
 _SLICE_BYTES = 512 << 10
 

@@ -33,7 +33,7 @@ PROFILE = 400
 MOST_LANGUAGES = 1000
 UNDETERMINED = "und"
 # a slice takes about 150 bytes of memory a byte of text
-_SLICE_BYTES = 512 << 10
+_SLICE_BYTES = 128 << 10
 _SPACE, _UNSEEN = 0x20, 0xFFFFFFFF
 
 
