@@ -4,9 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import listings, table
+from parcelflow.operators import nearest as N
 from parcelflow.operators.keys import group_key
 from parcelflow.operators.nearest import Tolerant, class_key, nearest_lists, others
 from parcelflow.plans import comparables as C
+from parcelflow.sources.storage import materialise
 
 
 def compared(spark, rows):
@@ -135,3 +137,35 @@ def test_later_tiers_search_open_subjects_only(spark, monkeypatch):
     assert asked == [["1", "2", "3", "4", "5"], ["5", "6"], ["6"]]
     key = spark.range(1).select(class_key(group_key(F.lit("a" * 100)), []).alias("k")).first().k
     assert len(key) == 16
+
+
+@pytest.mark.parametrize("routed", [True, False])
+def test_nearest_over_many_chunks(spark, monkeypatch, routed):
+    """Groups that part across chunks, subjects that are no candidates and ties over a narrow part of the reach; one shuffle, and no join of lists."""
+    monkeypatch.setattr(N, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(N, "CHUNK_PAIRS", 5)
+    rnd = random.Random(11)
+    rows = [(i, rnd.choice("gh"), rnd.choice([10.0, 10.1, 11.0, 11.4, 12.0, 50.0]), rnd.choice([None, 1, 2, 3, 9]), rnd.choice([None, "a", "b"]), rnd.random() < 0.7)
+            for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, g string, pos double, fl int, mat string, offered boolean").withColumn("key", group_key("g"))
+    attrs = [Tolerant("fl", 2, routed=routed), Tolerant("mat", routed=routed)]
+    lists = nearest_lists(df, df.where("offered"), key="key", position="pos", ident="id", payload=["mat"], k=3, reach=(0.15, 0.15), attrs=attrs, carry=["id", "g"])
+    assert lists.columns == ["id", "g", "near"]
+    plan = lists._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Join" not in plan and "Window" not in plan
+    got = {r.id: [(e.distance, e.id, e.pos, e.mat) for e in r.near] for r in lists.collect()}
+
+    def fits(a, b):
+        return (b[5] and a[1] == b[1] and a[2] * 0.85 <= b[2] <= a[2] * 1.15 and (a[3] is None or b[3] is None or abs(a[3] - b[3]) <= 2)
+                and (a[4] is None or b[4] is None or a[4] == b[4]))
+
+    want = {a[0]: [(abs(b[2] - a[2]), b[0], b[2], b[4]) for b in sorted((b for b in rows if fits(a, b)), key=lambda b: (abs(b[2] - a[2]), b[0]))][:4] for a in rows}
+    assert got == want
+
+
+def test_analog_lists_are_not_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(C, "materialise", lambda df, label: written.append(df.columns) or materialise(df, label))
+    rows = [*[{"ppm": 1000.0, "complex": "X"}] * 4, {"ppm": 900.0, "complex": "Y"}]
+    assert compared(spark, rows).where("analogs IS NOT NULL").count() == 5
+    assert written and not any("analogs" in columns for columns in written)
