@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelflow import constants as K
 from parcelflow.operators.keys import digest, group_key, join_on
-from parcelflow.operators.nearest import Tolerant, class_key, nearest_lists, others
+from parcelflow.operators.nearest import Tolerant, nearest_lists, others
 from parcelflow.operators.pivot_clusters import pivot_clusters
 from parcelflow.sources.storage import materialise
 
@@ -61,15 +61,14 @@ def same_flat(incoming: DataFrame, stored: DataFrame, *, tolerance: float = K.DU
     def narrow(rows: DataFrame) -> DataFrame:
         return materialise(rows.select("id", "floor", "price_usd", digest(group_key(*keys)).alias("flat")), "flats")
 
-    # written once, since the search reads them three times
+    # written once, since the search reads them on both sides
     same = incoming is stored
     incoming = narrow(incoming)
     stored = incoming if same else narrow(stored)
     lists = nearest_lists(incoming, stored, key="flat", position="price_usd", ident="id", payload=[],
-                          k=1, reach=(tolerance, tolerance), attrs=attrs)
+                          k=1, reach=(tolerance, tolerance), attrs=attrs, carry=["id"])
     return (
-        incoming.select("id", class_key("flat", attrs).alias("class"), "price_usd").join(lists, ["class", "price_usd"])
-        .select("id", others("near", "id", F.col("id"), 1).alias("hit"))
+        lists.select("id", others("near", "id", F.col("id"), 1).alias("hit"))
         .where(F.size("hit") > 0)
         .select("id", F.col("hit")[0]["id"].alias("duplicate_id"), F.col("hit")[0]["price_usd"].alias("duplicate_price_usd"))
     )
