@@ -7,7 +7,7 @@ from helpers import listings, table
 from parcelflow.operators import nearest as N
 from parcelflow.operators.keys import group_key
 from parcelflow.operators.nearest import Tolerant, class_key, nearest_lists, others
-from parcelflow.plans import comparables as C
+from parcelflow.plans import comparables as C, search
 from parcelflow.sources.storage import materialise
 
 
@@ -169,3 +169,15 @@ def test_analog_lists_are_not_written(spark, monkeypatch):
     rows = [*[{"ppm": 1000.0, "complex": "X"}] * 4, {"ppm": 900.0, "complex": "Y"}]
     assert compared(spark, rows).where("analogs IS NOT NULL").count() == 5
     assert written and not any("analogs" in columns for columns in written)
+
+
+def test_analog_places_sort_as_the_window_does(spark):
+    """Every sort of a subject's own table, with unknown figures and ties, gives the places of a window over the subject."""
+    rows = [(1, "b", 40.0, 7.0, 1.5, None, "district"), (2, "a", 40.0, None, 1.5, 2.0, "district"), (3, "c", 41.0, 7.0, -3.0, 2.0, "district")]
+    pairs = spark.createDataFrame(rows, "rank int, analog_id string, analog_area_m2 double, analog_price_usd double, analog_ppm double, diff_percent double, basis string")
+    table = pairs.agg(F.collect_list(F.struct(*pairs.columns)).alias("t"))
+    for key in ("price", "area", "ppm", "rank", "diff", "basis", "id"):
+        for down in (False, True):
+            got = table.select(search.analog_places("t", key, down).alias("p")).first().p
+            want = [r.rank for r in pairs.orderBy(*search.analog_order(key, down)).collect()]
+            assert got == want, (key, down)
