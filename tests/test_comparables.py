@@ -8,6 +8,7 @@ from parcelflow.operators import nearest as N
 from parcelflow.operators.keys import group_key
 from parcelflow.operators.nearest import Tolerant, class_key, nearest_lists, others
 from parcelflow.plans import comparables as C, search
+from parcelflow.queries import comparables as Q
 from parcelflow.sources.storage import materialise
 
 
@@ -181,3 +182,16 @@ def test_analog_places_sort_as_the_window_does(spark):
             got = table.select(search.analog_places("t", key, down).alias("p")).first().p
             want = [r.rank for r in pairs.orderBy(*search.analog_order(key, down)).collect()]
             assert got == want, (key, down)
+
+
+def test_incremental_values_a_listing_once(spark, sf, monkeypatch):
+    """Subjects are the neighbours of changes in the new rows and the kept listings in the old ones, not all listings again."""
+    asked = []
+
+    def seen(rows, subjects=None):
+        asked.append({r.id for r in subjects.select("id").collect()})
+        return subjects.select("*", F.lit(None).cast("string").alias("basis"), F.lit(None).cast("array<struct<price_usd:double,price_per_m2_usd:double>>").alias("analogs"))
+
+    monkeypatch.setattr(C, "comparables", seen)
+    found = {r.id for r in Q.incremental_estimates(spark, sf).collect()}
+    assert len(asked) == 2 and not asked[0] & asked[1] and asked[0] | asked[1] == found
