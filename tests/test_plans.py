@@ -40,3 +40,11 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 def test_top_cards_prune_before_the_shuffle(spark, sf):
     text = plan(hubs.hub_cards(listings(spark, sf)))
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_listing_cards_drop_removed_rows_before_parts_are_joined(spark, sf):
+    text = entry.queries()["listing_cards"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    firsts = [line.split("Relation [")[1].split("#")[0] for line in text.splitlines() if "Relation [" in line]
+    assert firsts[:2] == ["l_orderkey", "o_orderkey"]
+    one, other = (listings(spark, sf, by_status=b) for b in (True, False))
+    assert one.exceptAll(other).isEmpty() and one.count() == other.count()
