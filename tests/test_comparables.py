@@ -195,3 +195,10 @@ def test_incremental_values_a_listing_once(spark, sf, monkeypatch):
     monkeypatch.setattr(C, "comparables", seen)
     found = {r.id for r in Q.incremental_estimates(spark, sf).collect()}
     assert len(asked) == 2 and not asked[0] & asked[1] and asked[0] | asked[1] == found
+
+
+def test_a_listing_that_meets_only_its_own_id_has_no_figures(spark):
+    """Rows of one id count as each other's analogs and leave an empty list."""
+    rows = [{"id": "s", "ppm": 1000.0, "complex": None}] * 2
+    got = C.analog_stats(compared(spark, rows)).select("basis", "analog_count", "median_ppm").collect()
+    assert [tuple(r) for r in got] == [("district", 0, None)] * 2
